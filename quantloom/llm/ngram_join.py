@@ -2,24 +2,27 @@
 
 Steps, each linear in the shingles it keeps:
 
-1. ``_order``: one fixed-size table of shingle counts (a count sketch with one
-   row) over all documents.  (count of the bucket, hash) is the global order of
-   shingles, rare first.  Any order gives right results; this one keeps common
-   passages out of the prefixes.
-2. ``_signatures``: per document the set's size, a 128-bit set hash and its
-   prefix: the n - ceil(t*n) + 1 first shingles in that order.  Two sets at or
-   above the threshold t share a prefix shingle.  Equal sets form one class.
-3. ``_families``: the incidence matrix is cut into column blocks by shingle.  In
-   a block, classes that share a shingle and whose sizes allow a link are tied
-   to one hub, first within a map task, then within the block, so a shingle
-   that very many classes share gives one row for each class, not all pairs.
-   Connected components of these ties are families: no link crosses families.
-4. ``_links``: each family is one row block of the matrix.  The product of the
-   block with its transpose accumulates overlap counts; pairs outside the size
-   bounds are left out, the others are tested exactly (100*inter >= p*union).
-   A family over ``block_shingles`` is split into chunks and every pair of
-   chunks is a block of its own, so the memory of a task is bounded.
-   Only (member, root) rows are returned.
+1. ``_signatures``: per document the set's size and a 128-bit set hash.  Equal
+   sets form one class.
+2. ``_postings``: sets of sizes a and b that link differ in at most
+   k = (100-p)/(100+p)*(a+b) shingles.  The n-grams are dealt by hash into
+   g > k column groups, a third more than k; then at least g - k groups have the same
+   shingles in both sets.  A set posts one key for each of its groups: the
+   hash of the shingles there.  The postings are cut into blocks by key.
+3. ``_families``: agreeing keys are counted, and pairs below the bound that
+   their sizes give are left out.  Keys with ``SHORT`` sets or fewer count
+   towards all their pairs.  Of the keys with more sets only their number is
+   taken off a set's bound.  A set whose bound that leaves at nothing is
+   tied to its long keys themselves; two such sets that link meet there, and
+   all other links have pairs that pass the bound.  So a key that very many
+   sets share gives one row for each set, not all pairs.  Connected components
+   of pairs and ties are families: no link crosses families.
+4. ``_links``: each family is one row block of the incidence matrix.  The
+   product of the block with its transpose accumulates overlap counts; pairs
+   outside the size bounds are left out, the others are tested exactly
+   (100*inter >= p*union).  A family over ``BLOCK_SHINGLES`` is split into
+   chunks and every pair of chunks is a block of its own, so the memory of a
+   task is bounded.  Only (member, root) rows are returned.
 5. Components of the links, mapped back from classes to documents.
 
 Defined results: a null or empty text, or one of white space only, has size 0
@@ -31,220 +34,288 @@ rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, slices, text_buffers
 from .graph import connected_components
-from .wordhash import shingle_sets
+from .wordhash import mix, shingle_sets
 
-#: Buckets of the count table: fixed, so what is broadcast has a fixed size (4 MB).
-BUCKETS = 1 << 20
-#: Postings that a column block holds about.
-BLOCK_POSTINGS = 1 << 20
+#: Keys that a block of columns holds about.
+BLOCK_KEYS = 1 << 20
 #: Shingles of one row block of the product.
 BLOCK_SHINGLES = 1 << 21
 #: Classes up to which the list of those that need an exact test is broadcast (8 bytes each).
 BROADCAST_CLASSES = 500_000
 
 
-def bound(n, percent: int):
-    """Least overlap with any set that a set of size n can link to: ceil(percent*n/100)."""
-    return -((-percent * n) // 100)
-
-
-def _count_buckets(width: int, buckets: int, parts: int = 16):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        shift = np.uint64(64 - (buckets.bit_length() - 1))
-        total = np.zeros(buckets, np.int64)
-        for batch in batches:
-            data, offs = text_buffers(batch.column(0))
-            for a, b in slices(offs):
-                sets = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], width)
-                if sets:
-                    total += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=buckets)
-        each = buckets // parts
-        rows = [total[i * each : (i + 1) * each] for i in range(parts)]
-        used = [i for i in range(parts) if rows[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], ["part", "counts"])
+#: Sets up to which a key counts towards every pair of them.
+SHORT = 16
 
-    return run
 
+def size_classes(percent: int, most: int = 1 << 42):
+    """Size classes: sets that link lie in the same class or in neighbouring ones.
 
-def _add_counts(batches):
+    Returns arrays (largest size of each class, differences k, column groups
+    g): of two linked sets, the larger one in class i, at most k[i] shingles
+    are in one only, so at least g[i] - k[i] groups agree.
+    """
     import numpy as np
-    import pyarrow as pa
 
-    total: dict = {}
-    for batch in batches:
-        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(raw, np.int64)
-            total[part] = total[part] + x if part in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "counts"])
+    rows, low = [], 1
+    while low <= most:
+        top = low * 100 // percent
+        differ = (100 - percent) * 2 * top // (100 + percent)
+        rows.append((top, differ, differ + 1 + max(1, differ // 3)))
+        low = top + 1
+    return tuple(np.array(x, np.int64) for x in zip(*rows))
 
 
-def _order(docs: DataFrame, width: int):
-    """Counts of shingles by bucket over all documents: a numpy array of BUCKETS entries."""
+def _set_hashes(sets):
+    """(n, s1, s2) of each set as int64 arrays: sums of its hashes, mixed in two ways."""
     import numpy as np
 
-    schema = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(_count_buckets(width, BUCKETS), schema).repartition(16, "part").mapInArrow(_add_counts, schema).collect()
-    out = np.zeros(BUCKETS, np.int64)
-    each = BUCKETS // 16
-    for r in rows:
-        out[r["part"] * each : (r["part"] + 1) * each] += np.frombuffer(bytes(r["counts"]), np.int64)
-    return np.minimum(out, 2**32 - 1).astype(np.uint32)
-
-
-def _signatures(width: int, percent: int, table):
-    """(doc_id, n, s1, s2, prefix); the prefix only with a set's first row in the task."""
-
+    n = np.array([len(s) for s in sets], np.int64)
+    if not n.sum():
+        return n, np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+    flat = np.concatenate(sets)
+    with np.errstate(over="ignore"):
+        x = (flat ^ (flat >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        cut = np.r_[0, np.cumsum(n)]
+        sums = [np.r_[np.uint64(0), np.cumsum(v, dtype=np.uint64)] for v in (flat, x)]
+        one, two = (v[cut[1:]] - v[cut[:-1]] for v in sums)
+        one = one + n.astype(np.uint64)
+    return n, one.astype(np.int64), two.astype(np.int64)
+
+
+def _signatures(width: int):
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        counts = table.value
-        shift = np.uint64(64 - (len(counts).bit_length() - 1))
-        seen: set = set()
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
             ids = batch.column("doc_id")
             for a, b in slices(offs):
-                n, s1, s2, prefix = [], [], [], []
-                with np.errstate(over="ignore"):
-                    for s in shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], width):
-                        m = len(s)
-                        n.append(m)
-                        x = (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                        x ^= x >> np.uint64(32)
-                        one = int(s.sum() + np.uint64(m)) if m else 0
-                        two = int((x * np.uint64(0x94D049BB133111EB)).sum()) if m else 0
-                        s1.append(one - (1 << 64) if one >> 63 else one)
-                        s2.append(two - (1 << 64) if two >> 63 else two)
-                        if m == 0 or (one, two) in seen:
-                            prefix.append(None)
-                            continue
-                        seen.add((one, two))
-                        c = counts[(s >> shift).astype(np.int64)]
-                        prefix.append(s[np.argsort(c, kind="stable")[: m - bound(m, percent) + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(prefix, pa.binary())],
-                    ["doc_id", "n", "s1", "s2", "prefix"],
-                )
+                n, s1, s2 = _set_hashes(shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], width))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(s1), pa.array(s2)], ["doc_id", "n", "s1", "s2"])
 
     return run
 
 
-def _size_class(n, percent: int):
-    """Sets that may link lie in the same or in neighbouring size classes."""
-    import numpy as np
-
-    return np.floor(np.log(n) / np.log(100.0 / percent) + 1e-9).astype(np.int64)
+def group_keys(sets, percent: int, classes=None):
+    """Keys of many sets: (key hashes, index of the set of each key, bound of each set).
 
+    A set in class i posts under the groupings of classes i and i + 1, one for
+    links to sets no larger in class, one for larger ones.  The bound is how
+    many keys it shares at least with any set that it links to.
+    """
+    import numpy as np
 
-def _pairs_out(a, b):
+    tops, k, g = size_classes(percent) if classes is None else classes
+    n = np.array([len(s) for s in sets], np.int64)
+    bound = np.full(len(sets), 1 << 30, np.int64)
+    keep = np.flatnonzero(n)
+    if not len(keep):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), bound
+    flat = np.concatenate([sets[i] for i in keep])
+    owner = np.repeat(keep, n[keep])
+    own_class = np.searchsorted(tops, n)
+    keys, owners = [], []
+
+    def post(sums, columns, sets_of, classes_of):
+        tag = mix(columns + (classes_of.astype(np.uint64) << np.uint64(40)) + np.uint64(1))
+        keys.append(mix(sums ^ tag))
+        owners.append(sets_of)
+
+    with np.errstate(over="ignore"):
+        for up in (0, 1):
+            grouping = own_class + up
+            groups, agree = g[grouping], (g - k)[grouping]
+            column = ((flat >> np.uint64(32)) * groups[owner].astype(np.uint64)) >> np.uint64(32)
+            new = np.ones(len(flat), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (column[1:] != column[:-1])
+            at = np.flatnonzero(new)
+            o, c = owner[at], column[at]
+            # two sets without room for a difference are equal, and equal sets are one class already
+            use = (n > 0) & (k[grouping] > 0)
+            left = agree - (groups - np.bincount(o, minlength=len(n)))
+            # a set with so many empty groups that only those need agree posts them too
+            bare = use & (left < 1)
+            bound = np.where(use, np.minimum(bound, np.where(bare, agree, left)), bound)
+            fine = use[o]
+            post(np.add.reduceat(flat, at)[fine], c[fine], o[fine], grouping[o[fine]])
+            for i in np.flatnonzero(bare).tolist():
+                empty = np.setdiff1d(np.arange(groups[i]), c[o == i].astype(np.int64)).astype(np.uint64)
+                post(np.zeros(len(empty), np.uint64), empty, np.full(len(empty), i, np.int64), np.full(len(empty), grouping[i]))
+    return np.concatenate(keys), np.concatenate(owners), bound
+
+
+def _runs(key):
+    """(first of each run of equal keys, length of each run) of a sorted array."""
     import numpy as np
-    import pyarrow as pa
 
-    keep = a != b
-    pairs = np.unique(np.stack([a[keep], b[keep]], 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
-    return pa.array(pairs[:, 0]), pa.array(pairs[:, 1])
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return at, np.diff(np.r_[at, len(key)])
 
 
-def _postings(percent: int, blocks: int):
-    """Map side of a product's column blocks: local ties, and for each shingle and size class one hub that goes on.
+def _postings(width: int, percent: int, blocks: int):
+    """Map side: postings of the task's sets by block, packed.
 
-    Rows: (block, h, k, hub) as packed bytes, or (null, ...) with packed ties.
+    Rows (block, kind, x, y, z).  kind 0: 40 bits of each key in x, the place of
+    its set in y, and the names of the sets in z; place -1 marks a key as long.
+    kind 1: sets (x) of a key that is long in this task already, and the keys
+    (y).  kind 2: bounds (y) of sets (x).
     """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        held, many = [], 0
+        classes = size_classes(percent)
+        seen: set = set()
+        held, many, number = [], 0, 0
 
         def flush():
-            h, k, cid = (np.concatenate([x[i] for x in held]) for i in range(3))
-            order = np.lexsort((cid, k, h))
-            h, k, cid = h[order], k[order], cid[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-            hub = cid[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            a, b = _pairs_out(cid, hub)
-            rows = [(None, np.asarray(a).tobytes(), np.asarray(b).tobytes(), b"")]
-            h, k, hub = h[new], k[new], hub[new]
-            block = (h % np.uint64(blocks)).astype(np.int64)
+            key, node = (np.concatenate([x[i] for x in held]) for i in range(2))
+            names, first = np.unique(np.concatenate([x[2] for x in held]), return_index=True)
+            bounds = np.concatenate([x[3] for x in held])[first]
+            rows = [(number % blocks, 2, names.tobytes(), bounds.tobytes(), b"")]
+            order = np.argsort(key, kind="stable")
+            key, node = key[order], node[order]
+            at, length = _runs(key)
+            long = np.repeat(length > SHORT, length)
+            if long.any():
+                rows.append((number % blocks, 1, node[long].tobytes(), _short_key(key[long], blocks).tobytes(), b""))
+                marks = key[at[length > SHORT]]
+                key, node, mark = np.r_[key[~long], marks], np.r_[node[~long], np.zeros(len(marks), np.int64)], np.r_[np.zeros(int((~long).sum()), bool), np.ones(len(marks), bool)]
+            else:
+                mark = np.zeros(len(key), bool)
+            block = (key % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            h, k, hub, block = h[order], k[order], hub[order], block[order]
-            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist() + [len(block)]
-            for i, j in zip(cut[:-1], cut[1:]):
-                rows.append((int(block[i]), h[i:j].tobytes(), k[i:j].astype(np.int32).tobytes(), hub[i:j].tobytes()))
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(4)], ["block", "x", "y", "z"])
+            key, node, block, mark = key[order], node[order], block[order], mark[order]
+            at, length = _runs(block)
+            for i, j in zip(at.tolist(), (at + length).tolist()):
+                own, place = np.unique(node[i:j], return_inverse=True)
+                small = key[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+                place = np.where(mark[i:j], -1, place).astype(np.int16 if len(own) < 32768 else np.int32)
+                rows.append((int(block[i]), 0, small.tobytes(), place.tobytes(), own.tobytes()))
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(5)], ["block", "kind", "x", "y", "z"])
 
         for batch in batches:
-            for cid, n, raw in zip(batch.column("cid").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix").to_pylist()):
-                h = np.frombuffer(raw, np.uint64)
-                held.append((h, np.full(len(h), _size_class(n, percent)), np.full(len(h), cid, np.int64)))
-                many += len(h)
-                if many >= 2 * BLOCK_POSTINGS:
+            data, offs = text_buffers(batch.column("text"))
+            for a, b in slices(offs):
+                sets = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], width)
+                _, s1, _ = _set_hashes(sets)
+                for i, x in enumerate(s1.tolist()):
+                    if x in seen:
+                        sets[i] = sets[i][:0]
+                    seen.add(x)
+                key, owner, bound = group_keys(sets, percent, classes)
+                posting = np.unique(owner)
+                held.append((key, s1[owner], s1[posting], bound[posting]))
+                many += len(key)
+                if many >= 2 * BLOCK_KEYS:
                     yield flush()
-                    held, many = [], 0
-        if held:
+                    held, many, number = [], 0, number + 1
+        if many:
             yield flush()
 
     return run
 
 
-def _unpack_ties(batches):
+def _short_key(key, blocks: int):
+    """A name of a key that can be had from its block and its last 40 bits."""
     import numpy as np
-    import pyarrow as pa
 
-    for batch in batches:
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], ["a", "b"])
+    with np.errstate(over="ignore"):
+        return mix((key >> np.uint64(24)) + (key % np.uint64(blocks)) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
 
 
-def _block_ties(batches):
-    """Reduce side of the column blocks: hubs of one shingle in the same or the next size class are tied."""
-    import numpy as np
-    import pyarrow as pa
-
-    parts = []
-    for batch in batches:
-        for x, y, z in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "z"))):
-            parts.append((np.frombuffer(x, np.uint64), np.frombuffer(y, np.int32), np.frombuffer(z, np.int64)))
-    if not parts:
-        return
-    h, k, cid = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((cid, k, h))
-    h, k, cid = h[order], k[order], cid[order]
-    near = np.zeros(len(h), bool)  # tied to the entry before it
-    near[1:] = (h[1:] == h[:-1]) & (k[1:] - k[:-1] <= 1)
-    a, b = _pairs_out(cid[near], cid[np.flatnonzero(near) - 1])
-    yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
-
-
-def _families(classes: DataFrame, percent: int) -> DataFrame:
-    """(cid, family) of the classes that share a prefix shingle with another one."""
-    total = classes.agg(F.sum(F.octet_length("prefix")).alias("x")).first()["x"] or 0
-    blocks = max(1, -(-int(total) // (8 * BLOCK_POSTINGS)))
-    packed = materialize(classes.select("cid", "n", "prefix").mapInArrow(_postings(percent, blocks), "block int, x binary, y binary, z binary"), "postings")
-    local = packed.where("block is null").mapInArrow(_unpack_ties, "a long, b long")
-    across = packed.where("block is not null").repartition(blocks, "block").select("x", "y", "z").mapInArrow(_block_ties, "a long, b long")
-    out = materialize(connected_components(local.unionAll(across)), "families")
-    discard(packed)
-    return out
+def _count_pairs(blocks: int):
+    """Reduce side of the blocks.  Rows (kind, a, b, n): pairs with the keys that they share, long keys of sets, bounds."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(kind, a, b, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], ["kind", "a", "b", "n"])
+
+        parts: dict = {}
+        for batch in batches:
+            for block, kind, x, y, z in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "x", "y", "z"))):
+                if kind:
+                    x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                    yield out(1, x, y, np.ones(len(x), np.int64)) if kind == 1 else out(2, x, x, y)
+                    continue
+                small = np.zeros((len(x) // 5, 8), np.uint8)
+                small[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+                names = np.frombuffer(z, np.int64)
+                place = np.frombuffer(y, np.int16 if len(names) < 32768 else np.int32).astype(np.int64)
+                parts.setdefault(block, []).append((small.view("<u8").ravel(), np.where(place < 0, 0, names[place]), place < 0))
+        for block in list(parts):
+            key, node, mark = (np.concatenate([p[i] for p in parts[block]]) for i in range(3))
+            del parts[block]
+            order = np.lexsort((node, key))
+            key, node, mark = key[order], node[order], mark[order]
+            again = np.zeros(len(key), bool)  # the same set from several tasks
+            again[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1]) & (mark[1:] == mark[:-1])
+            key, node, mark = key[~again], node[~again], mark[~again]
+            at, length = _runs(key)
+            marked = np.add.reduceat(mark.astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool)
+            long = np.repeat((length > SHORT) | marked, length)
+            if long.any():
+                real = long & ~mark
+                names = mix(key[real] + np.uint64(block) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
+                yield out(1, node[real], names, np.ones(len(names), np.int64))
+            few = np.repeat(length > 1, length) & ~long
+            key, node = key[few], node[few]
+            pairs = []
+            for d in range(1, SHORT):
+                same = np.flatnonzero(key[d:] == key[:-d]) if len(key) > d else np.zeros(0, np.int64)
+                if not len(same):
+                    break
+                pairs.append(np.stack([node[same], node[same + d]], 1))
+            if pairs:
+                p = np.concatenate(pairs)
+                p = p[np.lexsort((p[:, 1], p[:, 0]))]
+                first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]).any(1)])
+                yield out(0, p[first, 0], p[first, 1], np.diff(np.r_[first, len(p)]))
+
+    return run
+
+
+def _families(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Classes (cid, rep, n, s1, s2, family) that may link to another one; sets go by their hash s1."""
+    shingles = int(classes.agg(F.sum("n").alias("x")).first()["x"] or 0)
+    keys = shingles * (100 - percent) * 6 / (100 + percent)  # about
+    blocks = max(1, math.ceil(keys / BLOCK_KEYS))
+    packed = docs.select("text").mapInArrow(_postings(width, percent, blocks), "block int, kind int, x binary, y binary, z binary")
+    counted = packed.repartition(blocks, "block").mapInArrow(_count_pairs(blocks), "kind int, a long, b long, n long")
+    counted = materialize(counted, "counted")
+    long = counted.where("kind = 1").select("a", "b").distinct()
+    bounds = counted.where("kind = 2").groupBy("a").agg(F.max("n").alias("n"))
+    bounds = bounds.join(long.groupBy("a").agg(F.count(F.lit(1)).alias("long")), "a", "left").select("a", (F.col("n") - F.coalesce("long", F.lit(0))).alias("bound"))
+    bounds = materialize(bounds, "bounds")
+    pairs = counted.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = pairs.join(bounds, "a").where("n >= bound").drop("bound").join(bounds.withColumnRenamed("a", "b"), "b").where("n >= bound")
+    heavy = long.join(bounds.where("bound < 1").select("a"), "a", "left_semi")
+    found = connected_components(pairs.select("a", "b").unionAll(heavy.select("a", "b")))
+    joined = found.join(classes, found["node"] == classes["s1"])
+    members = materialize(joined.select("cid", "rep", "n", "s1", "s2", F.col("component").alias("family")), "members")
+    discard(counted)
+    return members
 
 
 def _family_sets(width: int):
     """Shingle sets of the documents that stand for the classes."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
@@ -252,9 +323,8 @@ def _family_sets(width: int):
             for a, b in slices(offs):
                 sets = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], width)
                 part = batch.slice(a, b - a)
-                with np.errstate(over="ignore"):  # where an id repeats, only the text with the class's own set counts
-                    own = np.array([int(s.sum() + np.uint64(len(s))) if len(s) else 0 for s in sets], np.uint64).astype(np.int64)
-                mask = pa.array(own == part.column("s1").to_numpy())
+                _, s1, s2 = _set_hashes(sets)  # where an id repeats, only the text with the class's own set counts
+                mask = pa.array((s1 == part.column("s1").to_numpy()) & (s2 == part.column("s2").to_numpy()))
                 columns = [part.column("cid"), part.column("family"), part.column("bins"), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([c.filter(mask) for c in columns], ["cid", "family", "bins", "items"])
 
@@ -332,10 +402,8 @@ def _product(percent: int):
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, families: DataFrame, width: int, percent: int):
+def _links(docs: DataFrame, members: DataFrame, width: int, percent: int):
     """Spanning forest of the links between classes, as (a, b), and whether any family was split."""
-    members = families.join(classes.select("cid", "rep", "n", "s1", "s2"), families["node"] == classes["cid"]).select("cid", "rep", "n", "s1", "s2", F.col("component").alias("family"))
-    members = materialize(members, "members")
     weights = members.groupBy("family").agg(F.sum("n").alias("w"))
     stats = weights.agg(F.sum("w").alias("w"), F.max("w").alias("most"), F.count(F.lit(1)).alias("f")).first()
     if not stats["f"]:
@@ -352,7 +420,7 @@ def _links(docs: DataFrame, classes: DataFrame, families: DataFrame, width: int,
     if members.count() <= BROADCAST_CLASSES:
         jobs = F.broadcast(jobs)
     text = docs.select(F.col("doc_id").alias("rep"), "text")
-    sets = text.join(jobs, "rep").select("cid", "family", "bins", "s1", "text").mapInArrow(_family_sets(width), "cid long, family long, bins array<string>, items binary")
+    sets = text.join(jobs, "rep").select("cid", "family", "bins", "s1", "s2", "text").mapInArrow(_family_sets(width), "cid long, family long, bins array<string>, items binary")
     tasks = sets.select("cid", "family", F.explode("bins").alias("bin"), "items")
     return materialize(tasks.groupBy("bin").applyInArrow(_product(percent), "a long, b long"), "links"), split
 
@@ -362,18 +430,15 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
 
     Returns (doc_id, n_shingles, component_id) for every row of ``docs``.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = spark.sparkContext.broadcast(_order(docs, width))
-    signed = materialize(docs.mapInArrow(_signatures(width, percent, table), "doc_id long, n long, s1 long, s2 long, prefix binary"), "signatures")
-    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
+    signed = materialize(docs.mapInArrow(_signatures(width), "doc_id long, n long, s1 long, s2 long"), "signatures")
+    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = classes.where("rep is not null")
     classes = materialize(classes.withColumn("cid", F.col("rep")), "classes")
     if classes.groupBy("rep").count().where("count > 1").limit(1).count():  # an id with several texts: further classes stand under negative numbers
         nth = F.row_number().over(Window.partitionBy("rep").orderBy("s1", "s2"))
         classes = materialize(classes.withColumn("nth", nth).withColumn("cid", F.when(F.col("nth") == 1, F.col("rep")).otherwise(F.expr("s1 | shiftleft(1L, 63)"))).drop("nth"), "classes")
-    families = _families(classes, percent)
-    links, split = _links(docs, classes, families, width, percent)
+    links, split = _links(docs, _families(docs, classes, width, percent), width, percent)
     rows = signed.select("doc_id", "n", "s1", "s2")
     if links is None:
         labelled = classes.select("s1", "s2", F.col("rep").alias("least"))
