@@ -180,43 +180,74 @@ def unpack_image(image: bytes):
 
 #: A place where one blank stands between two other characters; no token of the pattern reaches over it.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_LOOSE = re.compile(r" \s|\s ")
+#: White space other than blanks and line ends, and the mark that pieces are cut at.
+_ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Characters of new pieces that are given to the tokenizer as one text.
+_JOINED = 1 << 17
 
 
-def make_tokenizer(path: str, cache_limit: int = 400_000):
+def _loose(t: str) -> bool:
+    """Whether white space stands next to white space, at an end, or is of another kind than blanks and line ends."""
+    return "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or _ODD.search(t) is not None
+
+
+def make_tokenizer(path: str, cache_limit: int = 600_000):
     """A function from texts to arrays of ids (uint32).
 
-    Pieces between single blanks are encoded once and kept, up to
-    ``cache_limit`` of them; the tokenizer never joins text across such a
-    blank, so the ids are those of the whole text.
+    Texts are cut at single blanks and line ends, over which the tokenizer
+    never joins text, so the ids of the pieces are those of the whole text.
+    Pieces are encoded once, many of them in one call, and kept, up to
+    ``cache_limit`` of them, for as long as the worker process lives.
     """
+    from itertools import chain
+
     import numpy as np
-    from tokenizers import Tokenizer
+    import tokenizers
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    cache: dict[str, bytes] = {}
+    kept = tokenizers.__dict__.setdefault("_kept_by_path", {})
+    if path not in kept:
+        fresh = tokenizers.Tokenizer.from_file(path)
+        fresh.encode_special_tokens = True
+        kept[path] = (fresh, {})
+    tokenizer, cache = kept[path]
+    line_end = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32)
+
+    def one_by_one(pieces):
+        for x, e in zip(pieces, tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
+            cache[x] = np.array(e.ids, "<u4").tobytes()
+
+    def together(pieces):
+        """Pieces without white space but a leading blank, as one text with line ends between."""
+        ids = np.array(tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ids == line_end[0])
+        if len(line_end) != 1 or len(cut) != len(pieces) - 1:
+            return one_by_one(pieces)
+        raw, edge = ids.tobytes(), np.r_[-1, cut, len(ids)].tolist()
+        for x, a, b in zip(pieces, edge[:-1], edge[1:]):
+            cache[x] = raw[4 * a + 4 : 4 * b]
 
     def run(texts):
-        nonlocal cache
-        pieces = []
-        for t in texts:
-            if _LOOSE.search(t):
-                pieces.append(_CUT.split(t))
-            else:
-                first, *rest = t.split(" ")
-                pieces.append([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
         if len(cache) > cache_limit:
-            cache = {}
-        missing = list({x for p in pieces for x in p if x not in cache})
-        for x, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            cache[x] = np.array(e.ids, "<u4").tobytes()
+            cache.clear()
+        loose = [_loose(t) for t in texts]
+        pieces = [_CUT.split(t) if odd else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t, odd in zip(texts, loose)]
+        plain = set(chain.from_iterable(p for p, odd in zip(pieces, loose) if not odd)).difference(cache)
+        plain.discard("\n")
+        plain.discard("")
+        batch, size = [], 0
+        for x in plain:
+            batch.append(x)
+            size += len(x)
+            if size > _JOINED:
+                together(batch)
+                batch, size = [], 0
+        if batch:
+            together(batch)
+        one_by_one(list({"", "\n", *chain.from_iterable(p for p, odd in zip(pieces, loose) if odd)}.difference(cache)))
         get = cache.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in pieces]
 
-    del special
     return run
 
 
