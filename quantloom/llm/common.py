@@ -80,3 +80,28 @@ def slices(offsets, limit: int = SLICE_BYTES):
         b = min(max(b, a + 1), n)
         yield a, b
         a = b
+
+
+def frugal(run):
+    """A batch function that gives freed memory back to the system when its task ends.
+
+    Workers live on between tasks; without this each keeps the most that any task needed.
+    """
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library has no such call
+                pass
+
+    return wrapped

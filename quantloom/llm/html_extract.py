@@ -30,7 +30,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import frugal, materialize
 
 #: A class is frequent from this share of a host's pages on.
 FREQUENT = 0.5
@@ -243,7 +243,7 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     ``classes``: nested classes as (class, tokens, depth, path of the first tag
     token), outermost first.
     """
-    tokens = pages.select("page_id", "url", "html").mapInArrow(_token_sums, TOKEN_SCHEMA)
+    tokens = pages.select("page_id", "url", "html").mapInArrow(frugal(_token_sums), TOKEN_SCHEMA)
     tokens = tokens.groupBy("host", "kind", "token").agg(F.max("path").alias("path"), *[F.sum(c).alias(c) for c in ("f1", "f2", "pages", "count", "size")])
     # singles, most of the texts, can belong to no template; the contents are only counted
     contents = F.col("kind") == 2
@@ -303,7 +303,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         templates = F.broadcast(templates)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_column(F.col("url")).alias("host"))
     joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "host", "fixed", "region")
-    return joined.mapInArrow(_extract_rows, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(frugal(_extract_rows), "page_id long, url string, text string, n_chars long")
 
 
 def host_column(url):

@@ -39,7 +39,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices, text_buffers
+from .common import discard, frugal, materialize, slices, text_buffers
 from .graph import connected_components
 from .wordhash import mix, shingle_sets
 
@@ -219,7 +219,7 @@ def _postings(width: int, percent: int, blocks: int):
                 posting = np.unique(owner)
                 held.append((key, s1[owner], s1[posting], bound[posting]))
                 many += len(key)
-                if many >= 2 * BLOCK_KEYS:
+                if many >= BLOCK_KEYS:
                     yield flush()
                     held, many, number = [], 0, number + 1
         if many:
@@ -295,8 +295,8 @@ def _families(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
     shingles = int(classes.agg(F.sum("n").alias("x")).first()["x"] or 0)
     keys = shingles * (100 - percent) * 6 / (100 + percent)  # about
     blocks = max(1, math.ceil(keys / BLOCK_KEYS))
-    packed = docs.select("text").mapInArrow(_postings(width, percent, blocks), "block int, kind int, x binary, y binary, z binary")
-    counted = packed.repartition(blocks, "block").mapInArrow(_count_pairs(blocks), "kind int, a long, b long, n long")
+    packed = docs.select("text").mapInArrow(frugal(_postings(width, percent, blocks)), "block int, kind int, x binary, y binary, z binary")
+    counted = packed.repartition(blocks, "block").mapInArrow(frugal(_count_pairs(blocks)), "kind int, a long, b long, n long")
     counted = materialize(counted, "counted")
     long = counted.where("kind = 1").select("a", "b").distinct()
     bounds = counted.where("kind = 2").groupBy("a").agg(F.max("n").alias("n"))
@@ -420,7 +420,7 @@ def _links(docs: DataFrame, members: DataFrame, width: int, percent: int):
     if members.count() <= BROADCAST_CLASSES:
         jobs = F.broadcast(jobs)
     text = docs.select(F.col("doc_id").alias("rep"), "text")
-    sets = text.join(jobs, "rep").select("cid", "family", "bins", "s1", "s2", "text").mapInArrow(_family_sets(width), "cid long, family long, bins array<string>, items binary")
+    sets = text.join(jobs, "rep").select("cid", "family", "bins", "s1", "s2", "text").mapInArrow(frugal(_family_sets(width)), "cid long, family long, bins array<string>, items binary")
     tasks = sets.select("cid", "family", F.explode("bins").alias("bin"), "items")
     return materialize(tasks.groupBy("bin").applyInArrow(_product(percent), "a long, b long"), "links"), split
 
@@ -431,7 +431,7 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
     Returns (doc_id, n_shingles, component_id) for every row of ``docs``.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(docs.mapInArrow(_signatures(width), "doc_id long, n long, s1 long, s2 long"), "signatures")
+    signed = materialize(docs.mapInArrow(frugal(_signatures(width)), "doc_id long, n long, s1 long, s2 long"), "signatures")
     classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = classes.where("rep is not null")
     classes = materialize(classes.withColumn("cid", F.col("rep")), "classes")

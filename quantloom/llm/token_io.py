@@ -27,7 +27,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, slices, text_buffers
+from .common import frugal, shared_path, slices, text_buffers
 
 MAGIC = b"QS8B"
 #: Ids in a word and bits of each, by selector; selector 0 is the escape.
@@ -191,7 +191,7 @@ def _loose(t: str) -> bool:
     return "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or _ODD.search(t) is not None
 
 
-def make_tokenizer(path: str, cache_limit: int = 600_000):
+def make_tokenizer(path: str, cache_limit: int = 300_000):
     """A function from texts to arrays of ids (uint32).
 
     Texts are cut at single blanks and line ends, over which the tokenizer
@@ -290,7 +290,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, out: str, end_id: int
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(_encode_rows(tokenizer_path, end_id), IMAGE_SCHEMA).write.option("compression", "none").parquet(out)
+    ordered.mapInArrow(frugal(_encode_rows(tokenizer_path, end_id)), IMAGE_SCHEMA).write.option("compression", "none").parquet(out)
     return spark.read.schema(IMAGE_SCHEMA).parquet(out)
 
 
@@ -326,7 +326,7 @@ def read_documents(images: DataFrame) -> DataFrame:
     starts = sizes.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).select("part", "number", "start")
     # two longs and an int for each 2 MB of text: small enough to broadcast up to 32 million images' texts
     joined = images.join(starts, ["part", "number"])
-    return joined.select("doc_ids", "start", "image").mapInArrow(_decode_rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return joined.select("doc_ids", "start", "image").mapInArrow(frugal(_decode_rows), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:

@@ -7,8 +7,6 @@ different ones differ but for about one pair in 2**64.
 
 from __future__ import annotations
 
-_STATE: dict = {}
-
 
 def mix(x):
     """The finaliser of splitmix64: every input bit reaches every output bit."""
@@ -22,23 +20,27 @@ def mix(x):
 
 
 def _tables(length: int):
+    """Tables of this process; kept outside the module, whose functions are pickled with what they refer to."""
+    import sys
+
     import numpy as np
 
-    if "bytes" not in _STATE:
+    state = sys.__dict__.setdefault("_quantloom_wordhash", {})
+    if "bytes" not in state:
         with np.errstate(over="ignore"):
-            _STATE["bytes"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            state["bytes"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         white = np.zeros(256, bool)
         white[[32, 9, 10, 11, 12, 13]] = True
-        _STATE["white"] = white
-    if len(_STATE.get("up", ())) < length:
+        state["white"] = white
+    if len(state.get("up", ())) < length:
         base = 0xD6E8FEB86659FD93
         down = pow(base, -1, 1 << 64)
         size = max(length, 1 << 16)
         for name, b in (("up", base), ("down", down)):
             powers = np.full(size, b, np.uint64)
             powers[0] = 1
-            _STATE[name] = np.multiply.accumulate(powers)
-    return _STATE
+            state[name] = np.multiply.accumulate(powers)
+    return state
 
 
 def words(data, offsets, prefixes=()):
