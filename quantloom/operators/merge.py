@@ -19,7 +19,7 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
+    w = Window.partitionBy(*keys).orderBy(*(order or keys))
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
