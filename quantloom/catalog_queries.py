@@ -303,20 +303,20 @@ _simple(
 )
 _FD = dataset("factor_daily").names
 _simple("j6_factor_daily", lambda t: _r6(t.factors), _r6_sql(_FD, "factor", set(FACTORS + SCORES)))
-_W = Window.partitionBy("index_code").orderBy("trade_date")
+_w = lambda: Window.partitionBy("index_code").orderBy("trade_date")
 _simple(
     "w9_drawdown",
-    lambda t: t.benchmark_price.withColumn("peak", F.max("close").over(_W.rowsBetween(Window.unboundedPreceding, 0))).groupBy("index_code").agg(F.min(F.col("close") / F.col("peak") - 1).alias("max_drawdown")),
+    lambda t: t.benchmark_price.withColumn("peak", F.max("close").over(_w().rowsBetween(Window.unboundedPreceding, 0))).groupBy("index_code").agg(F.min(F.col("close") / F.col("peak") - 1).alias("max_drawdown")),
     "SELECT index_code, min(close / peak - 1) AS max_drawdown FROM (SELECT *, max(close) OVER (PARTITION BY index_code ORDER BY trade_date) AS peak FROM benchmark_price) x GROUP BY index_code",
 )
 _simple(
     "w10_daily_return",
-    lambda t: t.benchmark_price.select("index_code", "trade_date", F.coalesce(F.try_divide("close", F.lag("close").over(_W)) - 1, F.lit(0.0)).alias("daily_return")),
+    lambda t: t.benchmark_price.select("index_code", "trade_date", F.coalesce(F.try_divide("close", F.lag("close").over(_w())) - 1, F.lit(0.0)).alias("daily_return")),
     "SELECT index_code, trade_date, coalesce(close / lag(close) OVER (PARTITION BY index_code ORDER BY trade_date) - 1, 0) AS daily_return FROM benchmark_price",
 )
 _simple(
     "w12_pct_change",
-    lambda t: t.benchmark_price.withColumn("pre_close", F.lag("close").over(_W)).where("pre_close is not null").select("index_code", "trade_date", S.pct_change("close", "pre_close").alias("pct_chg")),
+    lambda t: t.benchmark_price.withColumn("pre_close", F.lag("close").over(_w())).where("pre_close is not null").select("index_code", "trade_date", S.pct_change("close", "pre_close").alias("pct_chg")),
     "SELECT index_code, trade_date, (close / p - 1) * 100 AS pct_chg FROM (SELECT *, lag(close) OVER (PARTITION BY index_code ORDER BY trade_date) AS p FROM benchmark_price) x WHERE p IS NOT NULL",
 )
 
