@@ -22,7 +22,6 @@ first; extra columns are ignored; no rows give no rows.
 from __future__ import annotations
 
 import os
-import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -178,75 +177,138 @@ def unpack_image(image: bytes):
     return lengths, out
 
 
-#: A place where one blank stands between two other characters; no token of the pattern reaches over it.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: White space other than blanks and line ends, and the mark that pieces are cut at.
-_ODD = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Characters of new pieces that are given to the tokenizer as one text.
-_JOINED = 1 << 17
+#: New pieces that are given to the tokenizer as one text.
+_JOINED = 1000
+#: Bytes cut off after an ASCII letter or digit; there a new run of the tokenizer's pattern begins.
+_CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _loose(t: str) -> bool:
-    """Whether white space stands next to white space, at an end, or is of another kind than blanks and line ends."""
-    return "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or _ODD.search(t) is not None
+def _byte_classes():
+    """Bytes by class, as bits: 1 white space or its lead byte, 2 surely no white space next, 4 letter or digit, 8 closing."""
+    import numpy as np
 
+    c = np.full(256, 2, np.uint8)
+    c[: 0x21] = 1
+    c[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = 1  # all white space beyond ASCII begins with one of these lead bytes
+    c[0x80:0xC0] = 0
+    c[[*range(48, 58), *range(65, 91), *range(97, 123)]] |= 4
+    c[list(_CLOSING)] |= 8
+    return c
 
-def make_tokenizer(path: str, cache_limit: int = 300_000):
-    """A function from texts to arrays of ids (uint32).
 
-    Texts are cut at single blanks and line ends, over which the tokenizer
-    never joins text, so the ids of the pieces are those of the whole text.
-    Pieces are encoded once, many of them in one call, and kept, up to
-    ``cache_limit`` of them, for as long as the worker process lives.
-    """
-    from itertools import chain
+def _cuts(data, offsets, classes):
+    """Where pieces begin: the texts' starts, single blanks and line ends between other characters, closing marks."""
+    import numpy as np
+
+    n = len(data)
+    begin = np.zeros(n + 2, bool)
+    edge = np.zeros(n + 2, bool)
+    edge[offsets] = True
+    kind = classes[data]
+    begin[1:n] = (kind[1:] & 8 != 0) & (kind[:-1] & 4 != 0)
+    inner = np.flatnonzero((data == 32) | (data == 10))
+    inner = inner[(inner > 1) & (inner < n - 1)]
+    inner = inner[~(edge[inner] | edge[inner + 1])]
+    before, ahead = data[inner - 1], data[inner - 2]
+    # a character of several bytes before it is no white space unless its last but one byte is one of four
+    solid = (kind[inner - 1] & 2 != 0) & (before < 0x80)
+    solid |= (before >= 0x80) & (ahead != 0xC2) & (ahead != 0x9A) & (ahead != 0x80) & (ahead != 0x81)
+    inner = inner[solid & (kind[inner + 1] & 2 != 0)]
+    begin[inner] = True
+    begin[inner[data[inner] == 10] + 1] = True
+    begin[offsets] = True
+    return np.flatnonzero(begin[:n]), kind
 
+
+def make_tokenizer(path: str, cache_limit: int = 300_000):
+    """A function from a buffer of texts (bytes, offsets) to their ids (uint32) and the number of ids of each text.
+
+    Texts are cut at places over which the tokenizer never joins text, so the
+    ids of the pieces are those of the whole text.  Equal pieces are found by
+    their hash and compared byte for byte.  Pieces are encoded once, many in a
+    call, and kept for as long as the worker process lives: a new and an old
+    generation, each of up to half of ``cache_limit``; pieces of the old one
+    that come again move to the new one.
+    """
     import numpy as np
+    import pandas as pd
     import tokenizers
 
+    from .wordhash import run_hashes
+
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     kept = tokenizers.__dict__.setdefault("_kept_by_path", {})
     if path not in kept:
         fresh = tokenizers.Tokenizer.from_file(path)
         fresh.encode_special_tokens = True
-        kept[path] = (fresh, {})
-    tokenizer, cache = kept[path]
+        size = fresh.get_vocab_size(with_added_tokens=True)
+        blank = np.fromiter(((fresh.id_to_token(i) or "").startswith("\u0120") for i in range(size)), bool, size)
+        kept[path] = (fresh, blank, _byte_classes(), [{}, {}])
+    tokenizer, blank, classes, generations = kept[path]
     line_end = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32)
 
-    def one_by_one(pieces):
-        for x, e in zip(pieces, tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
+    def one_by_one(pieces, cache):
+        texts = [x.decode() for x in pieces]
+        for x, e in zip(pieces, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             cache[x] = np.array(e.ids, "<u4").tobytes()
 
-    def together(pieces):
-        """Pieces without white space but a leading blank, as one text with line ends between."""
-        ids = np.array(tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(ids == line_end[0])
-        if len(line_end) != 1 or len(cut) != len(pieces) - 1:
-            return one_by_one(pieces)
-        raw, edge = ids.tobytes(), np.r_[-1, cut, len(ids)].tolist()
-        for x, a, b in zip(pieces, edge[:-1], edge[1:]):
-            cache[x] = raw[4 * a + 4 : 4 * b]
-
-    def run(texts):
-        if len(cache) > cache_limit:
-            cache.clear()
-        loose = [_loose(t) for t in texts]
-        pieces = [_CUT.split(t) if odd else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t, odd in zip(texts, loose)]
-        plain = set(chain.from_iterable(p for p, odd in zip(pieces, loose) if not odd)).difference(cache)
-        plain.discard("\n")
-        plain.discard("")
-        batch, size = [], 0
-        for x in plain:
-            batch.append(x)
-            size += len(x)
-            if size > _JOINED:
-                together(batch)
-                batch, size = [], 0
-        if batch:
-            together(batch)
-        one_by_one(list({"", "\n", *chain.from_iterable(p for p, odd in zip(pieces, loose) if odd)}.difference(cache)))
-        get = cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in pieces]
+    def together(pieces, cache, spaced):
+        """Pieces without white space but a leading blank, which all or none have, many as one text; line ends part the latter."""
+        for i in range(0, len(pieces), _JOINED):
+            some = pieces[i : i + _JOINED]
+            text = (b"" if spaced else b"\n").join(some).decode()
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            if spaced:
+                first = np.flatnonzero(blank[ids])
+                last = np.r_[first[1:], len(ids)]
+            else:
+                cut = np.flatnonzero(ids == line_end[0])
+                first, last = np.r_[0, cut + 1], np.r_[cut, len(ids)]
+            if len(first) != len(some) or first[0] != 0 or len(line_end) != 1:
+                one_by_one(some, cache)
+            else:
+                raw = ids.tobytes()
+                cache.update(zip(some, [raw[x:y] for x, y in zip((4 * first).tolist(), (4 * last).tolist())]))
+
+    def run(data, offsets):
+        if len(data) == 0:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        cache, old = generations
+        if len(cache) > cache_limit // 2:
+            cache, old = generations[:] = {}, cache
+        starts, kind = _cuts(data, offsets, classes)
+        sizes = np.diff(starts, append=len(data))
+        code, _ = pd.factorize(run_hashes(data, starts))
+        first = np.zeros(int(code.max()) + 1, np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        begin, size = starts[first], sizes[first]
+        same = np.array_equal(size[code], sizes)
+        if same:
+            same = np.array_equal(data[np.arange(len(data)) + np.repeat(begin[code] - starts, sizes)], data)
+        if not same:  # two pieces share a hash: take every piece as its own
+            code, begin, size = np.arange(len(starts)), starts, sizes
+        raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist())]
+        white = np.r_[0, np.cumsum(kind & 1)]
+        lead = data[begin] == 32
+        odd = (white[begin + size] - white[begin] > lead) | (lead & (size == 1))
+        groups = [], [], []
+        for x, g in zip(pieces, np.where(odd, 2, ~lead).tolist()):
+            if x not in cache:
+                if x in old:
+                    cache[x] = old[x]
+                else:
+                    groups[g].append(x)
+        together(groups[0], cache, True)
+        together(groups[1], cache, False)
+        one_by_one(groups[2], cache)
+        found = list(map(cache.__getitem__, pieces))
+        known = np.frombuffer(b"".join(found), "<u4")
+        n_ids = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, n = (np.cumsum(n_ids) - n_ids)[code], n_ids[code]
+        to = np.r_[0, np.cumsum(n)]
+        ids = known[np.arange(to[-1]) + np.repeat(at - to[:-1], n)]
+        return ids, np.diff(to[np.searchsorted(starts, offsets)])
 
     return run
 
@@ -260,20 +322,18 @@ def _encode_rows(path: str, end_id: int):
         tokenize = make_tokenizer(path)
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            _, offs = text_buffers(batch.column("text"))
+            data, offs = text_buffers(batch.column("text"))
             for a, b in slices(offs, IMAGE_BYTES):
                 rows = batch.slice(a, b - a)
-                ids = tokenize([t or "" for t in rows.column("text").to_pylist()])
-                lengths = [len(x) + 1 for x in ids]
-                end = np.array([end_id], np.uint32)
-                flat = np.concatenate([y for x in ids for y in (x, end)])
+                ids, lengths = tokenize(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                flat = np.insert(ids, np.cumsum(lengths), end_id)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part], pa.int32()),
                         pa.array([number], pa.int32()),
                         pa.array([len(flat)], pa.int64()),
                         pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                        pa.array([pack_image(lengths, flat)], pa.binary()),
+                        pa.array([pack_image(lengths + 1, flat)], pa.binary()),
                     ],
                     ["part", "number", "n_ids", "doc_ids", "image"],
                 )

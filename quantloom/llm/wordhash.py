@@ -81,6 +81,19 @@ def words(data, offsets, prefixes=()):
     return (h, np.searchsorted(starts, offsets), *short)
 
 
+def run_hashes(data, starts):
+    """Hashes of the runs of bytes that begin at ``starts`` and together make up ``data``."""
+    import numpy as np
+
+    n = len(data)
+    t = _tables(n + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(t["bytes"][data] * t["up"][:n], out=sums[1:])
+        at = sums[np.r_[starts, n]]
+        return mix((at[1:] - at[:-1]) * t["down"][starts] + np.diff(starts, append=n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def shingle_sets(data, offsets, width: int):
     """For each text, the sorted distinct hashes of its ``width``-word shingles.
 

@@ -353,8 +353,18 @@ def test_token_files(spark, odd, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     texts = ["", "  a  b ", " x", "x ", "a\n b", "a\nb c", "don't 's", "日本 語　x", "\n\n x", "x\0y z", "A, b.c\nD"]
-    run = token_io.make_tokenizer(path)
-    assert [x.tolist() for x in run(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    t.encode_special_tokens = True
+    rng = random.Random(4)
+    marks = list(" \n'.,-ab1²é\u0301s\t日Ⅷtl_\"") + ["\u00a0", "\u0085", "\u3000", "\u2028", "\u1680", "\u205f", "\x1c", "’", "<|endoftext|>"]
+    texts += ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += [" ".join("".join(rng.choice(marks[2:]) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    want_ids = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    raw = [x.encode() for x in texts]
+    run = token_io.make_tokenizer(path, cache_limit=500)  # generations change on the way
+    for a in range(0, len(raw), 300):
+        some = raw[a : a + 300]
+        ids, n = run(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want_ids[a : a + 300]
     want, start = {}, 0
     rows = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     for i, text in rows:
