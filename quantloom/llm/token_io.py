@@ -282,14 +282,19 @@ def make_tokenizer(path: str, cache_limit: int = 300_000):
         first = np.zeros(int(code.max()) + 1, np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         begin, size = starts[first], sizes[first]
+        small = np.int32 if len(data) < 1 << 31 else np.int64
         same = np.array_equal(size[code], sizes)
         if same:
-            same = np.array_equal(data[np.arange(len(data)) + np.repeat(begin[code] - starts, sizes)], data)
+            twin = np.repeat((begin[code] - starts).astype(small), sizes)
+            twin += np.arange(len(data), dtype=small)
+            same = np.array_equal(data[twin], data)
+            del twin
         if not same:  # two pieces share a hash: take every piece as its own
             code, begin, size = np.arange(len(starts)), starts, sizes
         raw = data.tobytes()
         pieces = [raw[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist())]
-        white = np.r_[0, np.cumsum(kind & 1)]
+        white = np.zeros(len(data) + 1, small)
+        np.cumsum(kind & 1, out=white[1:])
         lead = data[begin] == 32
         odd = (white[begin + size] - white[begin] > lead) | (lead & (size == 1))
         groups = [], [], []
@@ -307,8 +312,9 @@ def make_tokenizer(path: str, cache_limit: int = 300_000):
         n_ids = np.fromiter(map(len, found), np.int64, len(found)) // 4
         at, n = (np.cumsum(n_ids) - n_ids)[code], n_ids[code]
         to = np.r_[0, np.cumsum(n)]
-        ids = known[np.arange(to[-1]) + np.repeat(at - to[:-1], n)]
-        return ids, np.diff(to[np.searchsorted(starts, offsets)])
+        take = np.repeat(at - to[:-1], n)
+        take += np.arange(to[-1])
+        return known[take], np.diff(to[np.searchsorted(starts, offsets)])
 
     return run
 

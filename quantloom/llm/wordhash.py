@@ -89,7 +89,9 @@ def run_hashes(data, starts):
     t = _tables(n + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(t["bytes"][data] * t["up"][:n], out=sums[1:])
+        np.take(t["bytes"], data, out=sums[1:], mode="clip")
+        sums[1:] *= t["up"][:n]
+        np.cumsum(sums[1:], out=sums[1:])
         at = sums[np.r_[starts, n]]
         return mix((at[1:] - at[:-1]) * t["down"][starts] + np.diff(starts, append=n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
