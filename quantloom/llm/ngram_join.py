@@ -143,9 +143,10 @@ def group_keys(sets, percent: int, classes=None):
             # two sets without room for a difference are equal, and equal sets are one class already
             use = (n > 0) & (k[grouping] > 0)
             left = agree - (groups - np.bincount(o, minlength=len(n)))
-            # a set with so many empty groups that only those need agree posts them too
+            # a set with so many empty groups that only those need agree posts them too; its partner
+            # does so only if bare itself, and else shares with it at least the one key that the partner needs
             bare = use & (left < 1)
-            bound = np.where(use, np.minimum(bound, np.where(bare, agree, left)), bound)
+            bound = np.where(use, np.minimum(bound, np.where(bare, 1, left)), bound)
             fine = use[o]
             post(np.add.reduceat(flat, at)[fine], c[fine], o[fine], grouping[o[fine]])
             for i in np.flatnonzero(bare).tolist():

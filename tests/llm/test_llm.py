@@ -101,6 +101,28 @@ def test_linked_sets_share_as_many_keys_as_their_bound(percent):
             assert shared >= max(1, bound.max())
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_short_links_of_neighbouring_sizes_pass_their_bound(percent):
+    rng = np.random.default_rng(percent)
+    tried, lost = 0, []
+    for n in range(2, 24):
+        for more in range(1, 6):
+            if 100 * n < percent * (n + more):
+                continue
+            for _ in range(6):
+                sets = []
+                for _ in range(80):
+                    a = np.unique(rng.integers(0, 2**64, n + more, dtype=np.uint64))
+                    sets += [np.sort(rng.permutation(a)[:n]), a]
+                key, owner, bound = ngram_join.group_keys(sets, percent)
+                keys = [set() for _ in sets]
+                for k, o in zip(key.tolist(), owner.tolist()):
+                    keys[o].add(k)
+                tried += 80
+                lost += [(n, n + more) for i in range(0, 160, 2) if len(keys[i] & keys[i + 1]) < max(1, bound[i], bound[i + 1])]
+    assert tried > 10_000 and not lost, lost[:5]
+
+
 def test_word_hashes_agree_with_words():
     texts = ["", "A b  a\tB\n", "x" * 50, "é É", "a"]
     raw = [t.encode() for t in texts]
