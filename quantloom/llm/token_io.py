@@ -14,7 +14,9 @@ Images are written as rows of a Parquet table through Spark's committer, so a
 lost executor leaves no half-written file, and any store that Spark writes to
 will do; ``export_files`` gives them as plain files.
 
-Defined results of ``encode_documents``/``read_documents``: a null or empty
+Defined results of ``encode_documents``/``read_documents``: ids are those of
+the library with add_special_tokens=False and its defaults otherwise, so an
+added token in a text gets its own id; a null or empty
 text has the end id alone; repeated ids follow each other; a null doc_id sorts
 first; extra columns are ignored; no rows give no rows.
 """
@@ -220,7 +222,27 @@ def _cuts(data, offsets, classes):
     return np.flatnonzero(begin[:n]), kind
 
 
-def make_tokenizer(path: str, cache_limit: int = 300_000):
+def _added_tokens(tokenizer):
+    """(pattern of the added tokens' bytes or None, whether each occurrence stands for itself, without the text around it)."""
+    import re
+
+    added = tokenizer.get_added_tokens_decoder().values()
+    marks = sorted((t.content.encode() for t in added if t.content), key=len, reverse=True)
+    alone = tokenizer.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word for t in added)
+    return re.compile(b"|".join(map(re.escape, marks))) if marks else None, alone
+
+
+def _whole_spans(raw: bytes, offsets, pattern, alone: bool):
+    """(start, end) of what is never cut: occurrences of added tokens, or the texts that hold one if the text around it counts."""
+    if pattern is None or not pattern.search(raw):
+        return []
+    cut = offsets.tolist()
+    if alone:
+        return [m.span() for a, b in zip(cut[:-1], cut[1:]) for m in pattern.finditer(raw, a, b)]
+    return [(a, b) for a, b in zip(cut[:-1], cut[1:]) if pattern.search(raw, a, b)]
+
+
+def make_tokenizer(path: str, cache_limit: int = 300_000, literal: bool = True):
     """A function from a buffer of texts (bytes, offsets) to their ids (uint32) and the number of ids of each text.
 
     Texts are cut at places over which the tokenizer never joins text, so the
@@ -229,6 +251,10 @@ def make_tokenizer(path: str, cache_limit: int = 300_000):
     call, and kept for as long as the worker process lives: a new and an old
     generation, each of up to half of ``cache_limit``; pieces of the old one
     that come again move to the new one.
+
+    ``literal``: added tokens such as an end mark are encoded like any other
+    text.  Otherwise they get their own ids, as the library gives by default;
+    each occurrence is a piece of its own and parts the text around it.
     """
     import numpy as np
     import pandas as pd
@@ -238,13 +264,18 @@ def make_tokenizer(path: str, cache_limit: int = 300_000):
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     kept = tokenizers.__dict__.setdefault("_kept_by_path", {})
-    if path not in kept:
+    name = path, literal
+    if name not in kept:
         fresh = tokenizers.Tokenizer.from_file(path)
-        fresh.encode_special_tokens = True
+        added = None, True
+        if literal:
+            fresh.encode_special_tokens = True
+        else:
+            added = _added_tokens(fresh)
         size = fresh.get_vocab_size(with_added_tokens=True)
         blank = np.fromiter(((fresh.id_to_token(i) or "").startswith("\u0120") for i in range(size)), bool, size)
-        kept[path] = (fresh, blank, _byte_classes(), [{}, {}])
-    tokenizer, blank, classes, generations = kept[path]
+        kept[name] = (fresh, blank, _byte_classes(), [{}, {}], added)
+    tokenizer, blank, classes, generations, (pattern, alone) = kept[name]
     line_end = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32)
 
     def one_by_one(pieces, cache):
@@ -256,7 +287,11 @@ def make_tokenizer(path: str, cache_limit: int = 300_000):
         """Pieces without white space but a leading blank, which all or none have, many as one text; line ends part the latter."""
         for i in range(0, len(pieces), _JOINED):
             some = pieces[i : i + _JOINED]
-            text = (b"" if spaced else b"\n").join(some).decode()
+            joined = (b"" if spaced else b"\n").join(some)
+            if pattern is not None and pattern.search(joined):  # an added token across pieces
+                one_by_one(some, cache)
+                continue
+            text = joined.decode()
             ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             if spaced:
                 first = np.flatnonzero(blank[ids])
@@ -276,7 +311,13 @@ def make_tokenizer(path: str, cache_limit: int = 300_000):
         cache, old = generations
         if len(cache) > cache_limit // 2:
             cache, old = generations[:] = {}, cache
-        starts, kind = _cuts(data, offsets, classes)
+        raw = data.tobytes()
+        whole = np.array(_whole_spans(raw, offsets, pattern, alone), np.int64).reshape(-1, 2)
+        edges = np.unique(np.r_[offsets, whole.ravel()]) if len(whole) else offsets
+        starts, kind = _cuts(data, edges, classes)
+        if len(whole):  # no piece begins within one
+            nth = np.searchsorted(whole[:, 0], starts, side="right") - 1
+            starts = starts[(nth < 0) | (starts == whole[nth, 0]) | (starts >= whole[nth, 1])]
         sizes = np.diff(starts, append=len(data))
         code, _ = pd.factorize(run_hashes(data, starts))
         first = np.zeros(int(code.max()) + 1, np.int64)
@@ -291,12 +332,13 @@ def make_tokenizer(path: str, cache_limit: int = 300_000):
             del twin
         if not same:  # two pieces share a hash: take every piece as its own
             code, begin, size = np.arange(len(starts)), starts, sizes
-        raw = data.tobytes()
         pieces = [raw[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist())]
         white = np.zeros(len(data) + 1, small)
         np.cumsum(kind & 1, out=white[1:])
         lead = data[begin] == 32
         odd = (white[begin + size] - white[begin] > lead) | (lead & (size == 1))
+        if len(whole):
+            odd |= np.isin(begin, whole[:, 0])
         groups = [], [], []
         for x, g in zip(pieces, np.where(odd, 2, ~lead).tolist()):
             if x not in cache:
@@ -325,7 +367,7 @@ def _encode_rows(path: str, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokenize = make_tokenizer(path)
+        tokenize = make_tokenizer(path, literal=False)
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))

@@ -403,6 +403,35 @@ def test_token_files(spark, odd, tmp_path):
     assert sum(len(token_io.unpack_image(open(f, "rb").read())[1]) for f in files) == start
 
 
+def test_added_tokens_get_the_ids_of_the_unmodified_library(spark, tmp_path):
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    assert t.encode(f"a {end} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rng = random.Random(5)
+    marks = list(" \n'.,-ab1\u00b2\u00e9\u0301s\t<|>l_") + ["\u00a0", "\u3000", "  ", "<|", "|>", "endoftext", end, end]
+    texts = ["", end, f"a {end} b", f"x{end}", f"{end}{end}y", f"a  {end}  b", f"a\n{end}\nb", "<|endof", "text|>", f" {end}", f"{end[:-1]} {end}"]
+    texts += ["".join(rng.choice(marks) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    raw = [x.encode() for x in texts]
+    for alone in (True, False):
+        token_io.make_tokenizer(path, literal=False)
+        kept = tokenizers._kept_by_path
+        kept[path, False] = (*kept[path, False][:4], (kept[path, False][4][0], alone))
+        run = token_io.make_tokenizer(path, cache_limit=500, literal=False)
+        for a in range(0, len(raw), 300):
+            some = raw[a : a + 300]
+            ids, n = run(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want[a : a + 300]
+        del kept[path, False]
+    rows = [(i, x, "s") for i, x in enumerate(texts[:40])]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_io.read_documents(token_io.encode_documents(frame(spark, rows), path, f"file://{tmp_path}/added")).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(want[:40])}
+
+
 # --- decontamination ---
 
 
