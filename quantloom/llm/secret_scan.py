@@ -36,9 +36,9 @@ SCOPE = 200
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_ID = re.compile(r"""(?ai:client_?id|account_?id|user_?name|user|login|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,64})""")
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"(?:https?|ftp|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@%&+=-]{4,200}")
+_ID = re.compile(r"""(?ai:client_?id|account_?id|user_?name|user|login|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""")
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+_ENDPOINT = re.compile(r"(?:https?|ftp|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@%&+=-]{4,}")
 _HINT = re.compile(r"://|(?ai:client_?id|account_?id|user|login|key_?id)")
 
 

@@ -282,6 +282,14 @@ def test_secret_base_and_linked_spans():
     assert secret_scan.find_spans(f"client_id=alice {'pad ' * 80}{key}")[1] == []
 
 
+def test_long_parts_are_linked_to_their_true_ends():
+    key, user, path = "Zx8Kq2Lm9Pw4Rt7Yv3Bn" * 30, "a1." * 40 + "z", "https://api.example.com/" + "v1/" * 120
+    text = f"client_id={user} then {key} at {path}"
+    assert [text[a:b] for a, b, _ in secret_scan.find_spans(text)[1]] == [user, key, path]
+    for n in (1000, 100_000):  # no match, in linear time
+        assert secret_scan.find_spans("A1b" * n + "===")[1] == []
+
+
 def test_interval_join_matches_brute_force():
     rng = random.Random(4)
     for _ in range(300):
