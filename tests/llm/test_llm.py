@@ -147,26 +147,87 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 <div class="comments"><p>reader {0}</p></div><aside>side</aside><footer>&copy; x</footer></body>"""
 
 
+PAGES = "page_id long, url string, html string"
+
+
 def test_extract_article(spark):
     rows = [(i, f"http://h.example/{i}", PAGE.format(f"n{i}")) for i in range(8)] + [(90, None, None), (91, "", ""), (92, "x", "plain < text"), (93, "http://o/", "<p>a<p>b<form>f</form><script>x")]
-    found = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert found[3][0] == "Head n3\nFirst & n3\nSecond n3", "text that stands on every page is the template's own"
+    found = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found[3][0] == "Head n3\nFirst & n3\nSecond n3\nNote: all rights", "a paragraph that every page repeats is the article's"
     assert found[90] == ("", 0) and found[91] == ("", 0) and found[92][0] == "plain < text" and found[93][0] == "a\nb"
     assert all(len(t) == n for t, n in found.values())
+    assert html_extract.extract_pages(spark.createDataFrame([], PAGES)).count() == 0
+    more = spark.createDataFrame([(1, "http://h/", "<p>x", "t", 5)], PAGES + ", text string, n_chars int")
+    assert html_extract.extract_pages(more).first()[:] == (1, "http://h/", "x", 1)
 
 
 def test_templates_are_nested_classes(spark):
-    rows = [(i, "http://h/a", PAGE.format(i)) for i in range(6)]
-    t = html_extract.deduce_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert len(t) == 1 and t[0].pages == 6 and t[0].fixed and max(c.tokens for c in t[0].classes) > 5
+    rows = [(i, "http://h/a", PAGE.format(i)) for i in range(6)] + [(9, "http://h/a", PAGE.format(0)), (10, "http://one/", PAGE.format(0))]
+    (t,) = html_extract.deduce_templates(spark.createDataFrame(rows, PAGES)).collect()
+    assert t.pages == 6 and t.region and max(c.tokens for c in t.classes) > 5
+
+
+NEUTRAL = """<html><body><div{0}><ul><li><a href="/">Home</a><li><a href="/x">More of {1}</a></ul></div><div{0}>Buy {1} now</div>
+<div{0}><h1>Head {1}</h1><p>{2} one<p>Rights as ever<div><span>Share this</span></div><p>last {2}</div>
+<div{0}><div><p>well {1}</div><div><p>no {1}</div></div><div{0}>&copy; site</div></body></html>"""
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_classes_find_the_article_without_names(spark, named):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(20, 60))) for _ in range(7)]
+    make = lambda i, t: re.sub(r"class=k", lambda m, k=iter("abcde"): f"class=k{next(k)}", NEUTRAL.format(" class=k" if named else "", f"n{i}", t))
+    rows = [(i, "http://h/a", make(i, t)) for i, t in enumerate(texts)] + [(50 + i, "http://h/b", make(0, texts[0])) for i in range(40)]
+    found = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    for i, t in enumerate(texts):
+        assert found[i] == f"Head n{i}\n{t} one\nRights as ever\nlast {t}", "the template's own box goes, its repeated paragraph stays"
+    assert all(found[50 + i] == found[0] for i in range(40))
+    alone = html_extract.extract(rows[0][2])
+    assert "Buy n0 now" in alone and "Share this" in alone, "without a template nothing tells them apart"
+
+
+def test_real_pages_without_names(spark):
+    """Article, nav, footer and advert under neutral elements give the same text on every host with two pages."""
+    from html import unescape
+
+    def article(html):
+        inner = re.search(r"<article>(.*?)(</article>|$)", html, re.S).group(1)
+        blocks = [" ".join(unescape(re.sub(r"</?b>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+        return "\n".join(x for x in blocks if x)
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    want = {i: article(h) for i, _, h in rows}
+    hosts = [u.split("/")[2] for _, u, _ in rows]
+    plain = [(i, u, re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", h).replace(' class="ad"', "")) for i, u, h in rows]
+    found = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == want
+    found = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(plain, PAGES)).collect()}
+    assert all(found[i] == want[i] for (i, _, _), h in zip(rows, hosts) if hosts.count(h) > 1)
 
 
 def test_copies_of_one_page_are_no_template(spark):
     rows = [(i, "http://h/a", PAGE.format("same")) for i in range(30)]
-    found = {r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    found = {r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
     assert found == {"Head same\nFirst & same\nSecond same\nNote: all rights"}
 
 
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<a b='x\">", "<div>", "<p>x", "<!--", "<script>", "<", "<td><tr>", "<ul><li><b>"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    html = part * ((1 << 20) // len(part))
+    began = time.process_time()
+    html_extract.page_tokens(html + "</p></i>" * 1000)
+    html_extract.extract(html)
+    assert time.process_time() - began < 20
+
+
+def test_scripts_and_open_quotes():
+    one = html_extract.extract
+    assert one("<p>a<script>if (a<b && c) x('<p>no</p>')</script>z<p title='q>r'>b<p x=\"open>c<p>d") == "az\nb\nc\nd"
+    assert one("<p>don't <b>stop</b> a <3 b &lt; c") == "don't stop a <3 b < c"
+
+
 # --- sharding ---
 
 
