@@ -384,12 +384,57 @@ def test_quality_statistics(spark, odd):
     assert quality.quality_filter(frame(spark, [(1, prose, None)])).first().kept
 
 
+def repeated_words(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen: dict = {}
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+    return len({i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)})
+
+
+@pytest.mark.parametrize("named", ["xxhash64({0}, {1}, {2})", "pmod(xxhash64({0}, {1}, {2}), 3)", "0L"])
+def test_repeated_windows_are_exact_when_hashes_collide(spark, named):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    texts = ["", "a", "a b", "a b c", "a a a a"] + [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = df.select("i", F.expr(quality.words_sql("t")).alias("w")).select("i", F.expr(quality.repeat_words_sql("w", named)).alias("n"))
+    assert {r.i: r.n for r in found.collect()} == {i: repeated_words(t) for i, t in enumerate(texts)}
+
+
+def test_long_text_of_different_words_repeats_nothing(spark):
+    from pyspark.sql import functions as F
+
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1_500_000 - 1)), lambda i: F.conv(i, 10, 36)), " ")
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, words).otherwise(F.concat(words, F.lit(" 7 8 9"))).alias("text"))
+    found = {r.doc_id: (r.n_words, r.n_repeat_words, r.kept) for r in quality.quality_filter(docs, rules=[]).collect()}
+    assert found == {0: (1_500_000, 0, True), 1: (1_500_003, 6, True)}
+
+
 def test_order_of_rules_never_changes_a_verdict(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rules = quality.default_rules()
     one = {r.doc_id: r.kept for r in quality.quality_filter(docs, rules).collect()}
     two = {r.doc_id: r.kept for r in quality.quality_filter(docs, rules[::-1], sample_rows=5).collect()}
     assert one == two
+    assert {r.doc_id: r.kept for r in quality.verdicts(docs).collect()} == one, "computing only what a verdict needs gives the same"
+
+
+def test_costs_are_those_of_the_rules(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = quality.estimates(quality.sample_of(docs), [quality.base_rule(), *quality.default_rules()])
+    assert found["base"][1] > found["no_letters"][1], "sorting windows costs more than looking for a letter"
+
+
+def test_quality_odd_tables(spark, odd):
+    from pyspark.sql import functions as F
+
+    assert quality.quality_filter(odd.limit(0)).count() == 0 and quality.verdicts(odd.limit(0)).count() == 0
+    clash = odd.withColumns({c: F.lit(-1) for c in ("n_words", "kept", "__w", "words", "base_failed")})
+    found = quality.quality_filter(clash)
+    assert found.columns.count("n_words") == 1 and found.where("n_words < 0").count() == 0 and found.where("__w = -1 and words = -1").count() == odd.count()
+    assert {r.doc_id: r.n_repeat_words for r in found.collect()}[6] == repeated_words(odd.where("doc_id = 6").first().text)
 
 
 # --- toxicity ---
