@@ -2,11 +2,14 @@
 
 Patterns give the base spans (assign, access, hex).  A credential often has
 parts that mean little alone: an access identifier, a secret, an endpoint.
-Weak candidates of each role are gathered with their positions, and an interval
-join within a scope (a window of ``SCOPE`` characters around a part) reports
-them only where complementary roles meet: an identifier with a secret, or a
-secret with an endpoint.  A sorted sweep over positions makes the join, so its
-work is linear in the candidates however many share a scope.
+Weak candidates of each role are gathered with their positions.  A text's scopes
+are intervals: the objects in braces, and the runs of lines without a blank
+line between.  An interval join finds the scopes of every part: the innermost
+object around it and its run of lines.  Candidates are reported only where
+complementary roles meet in a scope: an identifier with a secret, or a secret
+with an endpoint.  Scopes of one sort do not overlap at a part, so the join is a
+search in sorted positions and its work is linear in parts and braces, however
+many share a scope.
 
 Kinds of the spans that linking adds: id (client or account identifiers),
 key (mixed random strings of 20 or more), endpoint (URLs and host:port).
@@ -30,15 +33,14 @@ from .common import frugal
 
 KINDS = ("assign", "access", "hex")
 ADDED = ("id", "key", "endpoint")
-#: Characters between the parts of one credential at most.
-SCOPE = 200
-
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _ID = re.compile(r"""(?ai:client_?id|account_?id|user_?name|user|login|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""")
 _KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"(?:https?|ftp|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@%&+=-]{4,}")
+_BLANK = re.compile(r"\n[ \t\r]*(?=\n)")
+_BRACE = re.compile(r"[{}]")
 _HINT = re.compile(r"://|(?ai:client_?id|account_?id|user|login|key_?id)")
 
 
@@ -74,37 +76,67 @@ def weak_candidates(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def link(base, weak, scope: int = SCOPE):
-    """Weak candidates that complement another part within ``scope`` characters.
+def scopes(text: str, places) -> list[tuple[int, int]]:
+    """(run of lines, innermost object or -1) of each part; ``places``: (start, end) of the parts.
+
+    A part with a brace in it belongs to what lies around the whole of it; a
+    brace without its partner is none.
+    """
+    blanks = [m.end() for m in _BLANK.finditer(text)]
+    found, stack = [], []
+    if "{" in text:
+        for m in _BRACE.finditer(text):
+            if m.group() == "{":
+                stack.append(m.start())
+            elif stack:
+                found.append((stack.pop(), m.end()))
+    # sweep: at each edge the innermost open object changes
+    edges = sorted([(a, 1, i) for i, (a, b) in enumerate(found)] + [(b, 0, i) for i, (a, b) in enumerate(found)])
+    order = sorted(range(len(places)), key=lambda i: places[i][0])
+    inner, open_, e = [-1] * len(places), [], 0
+    for i in order:
+        a, b = places[i]
+        while e < len(edges) and edges[e][0] <= a:
+            _, opens, x = edges[e]
+            open_.append(x) if opens else open_.pop()
+            e += 1
+        around = len(open_) - 1
+        while around >= 0 and found[open_[around]][1] < b:
+            around -= 1
+        inner[i] = open_[around] if around >= 0 else -1
+    return [(bisect_right(blanks, a), inner[i]) for i, (a, b) in enumerate(places)]
+
+
+def link(base, weak, scope_of):
+    """Weak candidates that complement another part in one of their scopes.
 
     An access identifier counts as an identifier, an assigned or hexadecimal
-    string as a secret.  Interval join: for each part, a search in the sorted
-    positions of each complementary role.
+    string as a secret.  ``scope_of``: scopes of ``base`` and then ``weak``.  A
+    part that overlaps a candidate is no partner of it.
     """
     role_of = {"assign": 1, "access": 0, "hex": 1}
-    parts = [(a, b, role_of[k], None) for a, b, k in base] + [(a, b, r, i) for i, (a, b, r) in enumerate(weak)]
-    starts: list[list[int]] = [[], [], []]
-    ends: list[list[int]] = [[], [], []]
-    for a, b, r, _ in parts:
-        starts[r].append(a)
-        ends[r].append(b)
-    for r in range(3):
-        starts[r].sort()
-        ends[r].sort()
-
-    def near(a, b, role):
-        """Some part of the role lies within the scope and does not overlap [a, b)."""
-        after = bisect_left(starts[role], b)
-        if after < len(starts[role]) and starts[role][after] - b <= scope:
-            return True
-        before = bisect_right(ends[role], a)
-        return before > 0 and a - ends[role][before - 1] <= scope
+    parts = [(a, b, role_of[k]) for a, b, k in base] + list(weak)
+    held: dict = {}
+    for (a, b, r), own in zip(parts, scope_of):
+        for sort, scope in enumerate(own):
+            if scope >= 0:
+                starts, ends = held.setdefault((sort, scope, r), ([], []))
+                starts.append(a)
+                ends.append(b)
+    for starts, ends in held.values():
+        starts.sort()
+        ends.sort()
+
+    def partner(a, b, key):
+        """Some part of the scope and role ends before the candidate or starts after it."""
+        starts, ends = held.get(key, ((), ()))
+        return bool(starts) and (starts[-1] >= b or ends[0] <= a)
 
     wants = ((1,), (0, 2), (1,))
     overlaps = overlap_test(base)
     out, free = [], 0
-    for a, b, r, _ in sorted(parts[len(base) :]):
-        if a >= free and any(near(a, b, w) for w in wants[r]) and not overlaps(a, b):
+    for (a, b, r), own in sorted(zip(weak, scope_of[len(base) :])):
+        if a >= free and not overlaps(a, b) and any(partner(a, b, (sort, scope, w)) for sort, scope in enumerate(own) if scope >= 0 for w in wants[r]):
             out.append((a, b, ADDED[r]))
             free = b
     return out
@@ -131,7 +163,9 @@ def find_spans(text: str):
     """(base spans, all spans)."""
     base = base_spans(text)
     weak = weak_candidates(text)
-    added = link(base, weak) if len(base) + len(weak) > 1 else []
+    added = []
+    if weak and len(base) + len(weak) > 1:
+        added = link(base, weak, scopes(text, [(a, b) for a, b, _ in (*base, *weak)]))
     order = {k: i for i, k in enumerate((*KINDS, *ADDED))}
     return base, sorted([*base, *added], key=lambda s: (s[0], order[s[2]]))
 
