@@ -95,7 +95,10 @@ def join_spans(spans) -> str:
 #: A token is a run without white space; trailing punctuation is no part of a segment.
 _TOKEN = re.compile(r"\S+")
 _TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|AT)[)\]]")
-_TAIL = ".,;:!?\"'"
+_TAIL = ".,;:!?\"'*%#$&|<>)]}"
+_LEAD = "\"'<[{"
+#: A whole address; white space may stand around a spelt-out at sign.
+_MAIL = re.compile(r"[\w.%+-]+(?:@|\s?[(\[](?:at|AT)[)\]]\s?)(?:[\w-]+(?:\.|\s?[(\[](?:dot|DOT)[)\]]\s?))+[A-Za-z]{2,}")
 _CUES = {
     "mail": 0, "email": 0, "e-mail": 0, "contact": 0, "write": 0,
     "ip": 1, "host": 1, "server": 1, "address": 1,
@@ -141,13 +144,14 @@ def segment_features(text: str, a: int, b: int, before: str) -> list[str]:
     letters = sum(c.isalpha() for c in s)
     dots = s.count(".") + low.count("(dot)") + low.count("[dot]")
     out = [
-        f"digits={n if n < 20 else 20}",
-        f"groups={min(groups, 6)}",
+        f"digits={'mail' if at else min(n, 20)}",
+        f"groups={'mail' if at else min(groups, 6)}",
+        f"mail={bool(at and _MAIL.fullmatch(s))}",
         f"at={at}",
         f"letters={'none' if not letters else 'few' if letters <= n else 'many'}",
         f"plus={s[0] == '+'}",
         f"brackets={'(' in s and ')' in s and not at}",
-        f"dots={min(dots, 4)}|at={at}",
+        f"dots={min(dots, 2 if at else 4)}|at={at}",
         f"tokens={s.count(' ') + 1}",
         f"odd={bool(re.search(r'[^0-9A-Za-z@.+() _%/:-]|[.][.]', s))}",
     ]
@@ -177,11 +181,9 @@ class Field:
                 if not marks[j]:
                     continue
                 a, b = run[i][0], run[j][1]
-                if b - a > 160:
-                    break
                 while b > a and text[b - 1] in _TAIL:
                     b -= 1
-                while a < b and text[a] in "\"'":
+                while a < b and text[a] in _LEAD:
                     a += 1
                 if b > a and "\n" not in text[a:b]:
                     out.append((i, j + 1, a, b, segment_features(text, a, b, before)))
@@ -266,8 +268,11 @@ def training_sentences(count: int, seed: int):
 
     def entity(kind):
         if kind == 0:
-            at, dot = rng.choice([("@", "."), ("(at)", "."), ("[at]", "."), (" (at) ", "."), ("@", ".")])
-            return f"{name()}{rng.choice(['', '.' + name(), number(2)])}{at}{name()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}" if at != " (at) " else f"{name()}{number(1)} (at) {name()}{number(1)}.com"
+            at = rng.choice(["@", "@", "@", "(at)", "[at]", " (at) "])
+            local = name() + rng.choice(["", "." + name(), "." + number(2), "_" + name(), number(2)])
+            if at == " (at) ":  # a segment begins and ends with a token that holds a digit or an at sign
+                return f"{local}{number(1)} (at) {name()}{number(1)}.com"
+            return local + at + "".join(name() + rng.choice(["", "", number(1), "-" + name()]) + "." for _ in range(rng.randint(1, 3))) + rng.choice(["com", "org", "net", "de", "fr", "info"])
         if kind == 1:
             return ".".join(str(rng.randint(0, 255)) for _ in range(4))
         if kind == 2:
@@ -316,7 +321,7 @@ def training_sentences(count: int, seed: int):
                 if not strong or rng.random() < 0.5:
                     text += rng.choice(cues[kind]) + rng.choice([" ", ": "])
                 gold[len(text), len(text) + len(bare)] = kind
-                text += bare + rng.choice(["", "", ",", "."]) + " "
+                text += bare + rng.choice(["", "", "", ",", ".", ")", "***", "%%%"]) + " "
             elif roll < 0.5:
                 text += noise() + rng.choice(["", ","]) + " "
             for _ in range(rng.randint(1, 4)):
