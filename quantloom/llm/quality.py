@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: White space between words: 0x20 and 0x09-0x0D.
 SPACE = "[ \\t-\\r]+"
-#: Rows of the sample on which the rules are estimated, and characters of a text that count there; it decides their order only.
+#: Rows, about, of the sample on which the rules are estimated, and characters of a text that count there; it decides their order only.
 SAMPLE_ROWS = 256
 SAMPLE_CHARS = 20_000
 #: A rule is timed over the sample so many times over, in so many runs of which the fastest counts.
@@ -108,8 +108,9 @@ def _prepared(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Texts of rows drawn from the whole table with equal chances, a long one cut: at most ``rows`` times ``SAMPLE_CHARS`` characters."""
-    picked = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.rand(7).alias("r")).orderBy("r").limit(rows).collect()
+    """Texts of about ``rows`` rows drawn from the whole table with equal chances, a long one cut after ``SAMPLE_CHARS`` characters."""
+    share = min(1.0, rows / max(1, docs.count()))
+    picked = docs.sample(fraction=share, seed=7).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
     return docs.sparkSession.createDataFrame([(r["text"],) for r in picked], "text string")
 
 
