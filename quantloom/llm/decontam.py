@@ -1,24 +1,25 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-1. The document frequency of every benchmark word is counted over all documents.
-2. For each window of a benchmark item its rarest words are chosen.
-3. The index stores a posting for every occurrence of a chosen word in any
-   document: (word, doc key, position), with the words around it.
-4. A window's postings of its rarest word, shifted by the word's offset, give
-   the candidate starts; they are intersected with the other words of the
-   window at their own offsets, which the words around the posting hold.
-   Exact phrases are windows that match whole; ``proximity`` counts matches of
-   all words of a window within a span.
-
-Documents are split into words once for counting and once for the index.  A
-word that is common everywhere is looked up only where no rarer word of its
-window exists.  The benchmark's words are broadcast only up to
-``MAX_TERMS``; beyond it the same steps run as shuffled joins.
+1. The index stores a posting (term, key, position) for every occurrence of a
+   benchmark word in any document, in the shared folder.  Documents are split
+   into words once.
+2. The length of every posting list is counted, and the words of each window
+   (a run of ``width`` words of an item) are put in order of their lists'
+   lengths, rarest first.
+3. Lists are intersected from the rarest: its postings, shifted by the word's
+   offset, are a window's candidates; those with no posting of the second
+   rarest word near enough go; the lists of all words are then intersected with
+   what is left.  Joins are on (term, key, stretch of the document), so neither
+   a frequent word nor a long document gathers in one task.
+4. A candidate is an exact phrase match if every word has a posting at its own
+   offset, and a proximity match if every word has one within ``width`` - 1
+   words of the rarest word's, in any order.
 
 Defined results: a null text has no words; an item without words has no
 windows; an item of fewer words than the window is one window; repeated
 documents are each reported; repeated items, or items with the same text, all
-count; extra columns are ignored; no items give no hits, no documents no rows.
+count; an item without an id counts but is not named in items_sha256; extra
+columns are ignored; no items give no hits, no documents no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from .common import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII other than letters and digits.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Distinct benchmark words up to which they are held as one set in the plan.
-MAX_TERMS = 100_000
+#: Benchmark words up to which they are held as one set in the plan; more are joined.
+MAX_TERMS = 30_000
+#: Bytes up to which words or windows of the benchmark are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def word_array(text: Column) -> Column:
@@ -42,105 +45,133 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
+def _small(table: DataFrame, weight) -> DataFrame:
+    """The table marked for broadcast if its rows weigh ``BROADCAST_BYTES`` or less."""
+    return F.broadcast(table) if (table.agg(F.sum(weight).alias("w")).first()["w"] or 0) <= BROADCAST_BYTES else table
+
+
 def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, window, size): every run of ``width`` words, or the whole of a shorter item."""
+    """(wid, window): every different run of ``width`` words, or the whole of a shorter item, with item_ids, the items that have it."""
+    if not 1 <= width <= 62:
+        raise ValueError("a window has 1 to 62 words")
     words = items.select("item_id", word_array(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     at = F.expr(f"sequence(0, greatest(n - {width}, 0))")
-    return words.select("item_id", "w", "n", F.explode(at).alias("i")).select("item_id", F.expr(f"slice(w, i + 1, {width})").alias("window")).withColumn("size", F.size("window")).distinct()
+    runs = words.select("item_id", "w", F.explode(at).alias("i")).select("item_id", F.expr(f"slice(w, i + 1, {width})").alias("window"))
+    # an item may hold a window, and a window may stand in items, very often: pairs first
+    return runs.distinct()
 
 
-def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): in how many documents each term occurs; ``docs`` has the word array ``w``."""
-    few = _as_set(terms)
-    kept = F.array_distinct(F.filter("w", lambda x: x.isin(few)) if few is not None else F.col("w"))
-    found = docs.select(F.explode(kept).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return terms.join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Positional postings of ``terms``, (key, term, position), and one row for each document: term null, position its number of words, doc_id.
 
-
-def _as_set(terms: DataFrame) -> list[str] | None:
-    """The terms as a list if they are few enough to be held in the plan, else None."""
+    ``docs``: key, doc_id and the word array w.
+    """
     rows = terms.limit(MAX_TERMS + 1).collect()
-    return [r["term"] for r in rows] if len(rows) <= MAX_TERMS else None
+    at = "if(size(w) > 0, sequence(0, size(w) - 1), cast(array() as array<int>))"
+    end = "named_struct('term', cast(null as string), 'position', size(w))"
+    if len(rows) <= MAX_TERMS:
+        few = [r["term"] for r in rows]
+        hits = F.filter(F.expr(at), lambda p: F.get("w", p).isin(few)) if few else F.expr("cast(array() as array<int>)")
+        held = docs.select("key", "doc_id", "w", hits.alias("hits"))
+        postings = F.expr(f"concat(array({end}), transform(hits, p -> named_struct('term', get(w, p), 'position', p)))")
+        flat = held.select("key", "doc_id", F.explode(postings).alias("x"))
+    else:
+        every = docs.select("key", "doc_id", F.explode(F.expr(f"concat(array({end}), transform({at}, p -> named_struct('term', get(w, p), 'position', p)))")).alias("x"))
+        known = _small(terms.select(F.col("term").alias("__t")), F.octet_length("__t") + 16).withColumn("__known", F.lit(True))
+        flat = every.join(known, F.col("x.term") == F.col("__t"), "left").where("x.term is null or __known")
+    flat = flat.select("key", F.when(F.col("x.term").isNull(), F.col("doc_id")).alias("doc_id"), "x.term", "x.position")
+    return materialize(flat, "index")
 
 
-def build_index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """Positional postings of ``terms``: (term, key, position, before, after).
+def plan_windows(windows: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(window, wid, words): the words of each window that can occur, rarest first.
 
-    ``docs``: key and the word array w.  before and after hold up to ``reach``
-    words on either side, in text order.
+    words: structs (n, term, offset) with n the length of the term's list; ties
+    go by term, then offset.  A window with a word that no document has is left out.
     """
-    few = _as_set(terms)
-    at = "if(size(w) > 0, sequence(0, size(w) - 1), cast(array() as array<int>))"
-    context = f"p -> named_struct('term', get(w, p), 'position', p, 'before', slice(w, greatest(p - {reach}, 0) + 1, least(p, {reach})), 'after', slice(w, p + 2, {reach}))"
-    if few is None:
-        every = docs.select("key", F.explode(F.expr(f"transform({at}, {context})")).alias("x")).select("key", "x.*")
-        return every.join(terms, "term", "left_semi")
-    hits = F.filter(F.expr(at), lambda p: F.get("w", p).isin(few))
-    return docs.select("key", "w", hits.alias("hits")).where(F.size("hits") > 0).select("key", F.explode(F.expr(f"transform(hits, {context})")).alias("x")).select("key", "x.*")
+    flat = windows.select("window").distinct().withColumn("wid", F.monotonically_increasing_id())
+    flat = materialize(flat, "windows")
+    each = flat.select("wid", F.posexplode("window").alias("offset", "term")).join(lengths, "term", "left")
+    words = each.groupBy("wid").agg(F.count_if(F.col("n").isNull()).alias("absent"), F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("words"))
+    return flat.join(words.where("absent = 0"), "wid").select("window", "wid", "words")
 
 
-def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """(key, start, size, item_id) of windows that occur whole.
+def intersect(index: DataFrame, plan: DataFrame, width: int) -> DataFrame:
+    """(wid, key, start, size, exact) of every place where a window's words all stand near its rarest word.
 
-    ``windows``: item_id, window, size, term (the rarest word) and offset (its
-    first place in the window).
+    ``exact``: they stand at their own offsets, and ``start`` is where the
+    phrase begins; otherwise it is the rarest word's place less its offset.
     """
-    checks = windows.select("item_id", "window", "size", "term", "offset")
-    joined = index.join(checks, "term")
-    whole = F.expr("slice(before, greatest(size(before) - offset, 0) + 1, least(offset, size(before))) = slice(window, 1, offset) and slice(after, 1, size - offset - 1) = slice(window, offset + 2, size - offset - 1)")
-    return joined.where(whole).select("key", (F.col("position") - F.col("offset")).alias("start"), "size", "item_id")
-
+    reach = width - 1
+    stretch = max(2 * reach, 1)
+    postings = index.where("term is not null").select("key", "term", "position", F.floor(F.col("position") / stretch).cast("int").alias("at"))
+    heads = plan.select("wid", F.col("words")[0].alias("x"), F.try_element_at(F.array_distinct(F.transform("words", lambda w: w["term"])), F.lit(2)).alias("next"), F.size("words").alias("size"))
+    heads = _small(heads.select("wid", "size", "next", "x.term", "x.offset"), F.octet_length("term") * 2 + 48)
+    found = postings.drop("at").join(heads, "term")
+    near = F.explode(F.array_distinct(F.array(*[F.floor((F.col("position") + d) / stretch).cast("int") for d in (-reach, reach)])))
+    around = found.select("wid", "key", "position", "offset", "size", "next", near.alias("at"))
+    seconds = _small(plan.select(F.try_element_at(F.array_distinct(F.transform("words", lambda w: w["term"])), F.lit(2)).alias("term")).where("term is not null").distinct(), F.octet_length("term") + 16)
+    second = postings.join(seconds, "term", "left_semi").select(F.col("key").alias("k2"), F.col("term").alias("t2"), F.col("position").alias("p2"), F.col("at").alias("a2"))
+    close = F.abs(F.col("p2") - F.col("position")) <= reach
+    left = around.where("next is not null").join(second, (F.col("next") == F.col("t2")) & (F.col("key") == F.col("k2")) & (F.col("at") == F.col("a2")) & close, "left_semi")
+    left = left.unionByName(around.where("next is null"))  # a window of one word over and over has no second one
+    left = materialize(left.select("wid", "key", "position", "offset", "size").distinct(), "candidates")
+    # all words of what is left; only its documents' lists are read
+    words = plan.select("wid", F.explode("words").alias("x")).select(F.col("wid").alias("w2"), "x.term", F.col("x.offset").alias("o2"))
+    first = words.groupBy("w2", "term").agg(F.min("o2").alias("m"))
+    words = _small(words.join(first, ["w2", "term"]).select("w2", "term", "o2", "m"), F.octet_length("term") + 24)
+    wanted = left.join(words, F.col("wid") == F.col("w2")).select("wid", "key", "position", "offset", "size", "term", "o2", "m", near.alias("at"))
+    keys = _small(left.select("key").distinct(), F.lit(16))
+    there = postings.join(keys, "key", "left_semi").select("key", "term", "at", F.col("position").alias("p2"))
+    met = wanted.join(there, ["key", "term", "at"]).where(close)
+    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
+    masks = met.groupBy("wid", "key", "position", "offset", "size").agg(
+        F.bit_or(bit("m")).alias("near"), F.bit_or(F.when(F.col("p2") - F.col("position") == F.col("o2") - F.col("offset"), bit("o2")).otherwise(F.lit(0).cast("long"))).alias("whole")
+    )
+    terms = words.groupBy("w2").agg(F.bit_or(bit("m")).alias("all_terms"))
+    terms = _small(terms, F.lit(16))
+    kept = masks.join(terms, F.col("wid") == F.col("w2")).where("near = all_terms")
+    return kept.select("wid", "key", (F.col("position") - F.col("offset")).alias("start"), "size", (F.col("whole") == bit("size") - 1).alias("exact"))
 
-def proximity_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """(key, position, item_id) where all words of a window stand, in any order, within the reach of its rarest word."""
-    joined = index.join(windows.select("item_id", "window", "term"), "term")
-    around = F.concat("before", F.array("term"), "after")
-    return joined.where(F.size(F.array_except("window", around)) == 0).select("key", "position", "item_id").distinct()
 
+def find_matches(docs: DataFrame, items: DataFrame, width: int = 10):
+    """(index, matches): postings with a row for each document, and (key, start, size, exact, item_id) of phrase and proximity matches.
 
-def rarest(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """Add each window's rarest word (ties: the smaller word) as ``term`` and its first place as ``offset``."""
-    terms = windows.select("window", F.explode(F.array_distinct("window")).alias("term")).distinct().join(frequencies, "term")
-    best = terms.groupBy("window").agg(F.min(F.struct("df", "term")).alias("x")).where("x.df > 0")
-    return windows.join(best, "window").select("item_id", "window", "size", F.col("x.term").alias("term")).withColumn("offset", (F.array_position("window", F.col("term")) - 1).cast("int"))
+    ``docs``: doc_id and text.
+    """
+    windows = materialize(benchmark_windows(items.select("item_id", "text"), width), "runs")
+    terms = windows.select(F.explode("window").alias("term")).distinct()
+    words = docs.select("doc_id", word_array(F.col("text")).alias("w")).withColumn("key", F.monotonically_increasing_id())
+    index = build_index(words, terms)
+    lengths = index.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    plan = materialize(plan_windows(windows, lengths), "plan")
+    places = intersect(index, plan, width)
+    owners = _small(windows.join(plan.select("window", "wid"), "window").select("item_id", "wid"), F.lit(32))
+    return index, materialize(places.join(owners, "wid").select("key", "start", "size", "exact", "item_id"), "matches")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    windows = materialize(benchmark_windows(items.select("item_id", "text"), width), "windows")
-    terms = windows.select(F.explode("window").alias("term")).distinct()
-    words = docs.select("doc_id", word_array(F.col("text")).alias("w"))
-    chosen = materialize(rarest(windows, term_frequencies(words, terms)), "chosen")
-    keyed = words.withColumn("key", F.monotonically_increasing_id())
-    anchors = chosen.select("term").distinct()
-    few = _as_set(anchors)
-    if few is None:
-        base = materialize(keyed, "words")
-        counts = base.select("key", "doc_id", F.size("w").cast("long").alias("n_words"))
-        index = build_index(base, anchors, width - 1)
-    else:
-        # one scan gives the word counts and the postings, which are few
-        reach = width - 1
-        at = "if(size(w) > 0, sequence(0, size(w) - 1), cast(array() as array<int>))"
-        context = f"p -> named_struct('term', get(w, p), 'position', p, 'before', slice(w, greatest(p - {reach}, 0) + 1, least(p, {reach})), 'after', slice(w, p + 2, {reach}))"
-        hits = F.filter(F.expr(at), lambda p: F.get("w", p).isin(few))
-        held = keyed.select("key", "doc_id", "w", hits.alias("hits")).select("key", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(f"transform(hits, {context})").alias("postings"))
-        held = materialize(held, "index")
-        counts = held.select("key", "doc_id", "n_words")
-        index = held.select("key", F.explode("postings").alias("x")).select("key", "x.*")
-    found = materialize(phrase_matches(index, chosen), "matches")
-    spans = found.groupBy("key", "start").agg(F.max("size").alias("size"))
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
+
+    The first columns are from exact phrases; n_near counts the items with a
+    proximity match, those with an exact one included.
+    """
+    index, found = find_matches(docs, items, width)
+    counts = index.where("term is null").select("key", "doc_id", F.col("position").cast("long").alias("n_words"))
+    spans = found.where("exact").groupBy("key", "start").agg(F.max("size").alias("size"))
     before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("end", F.col("start") + F.col("size")).withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
     n_hit = spans.groupBy("key").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).cast("long").alias("n_hit"))
-    by_item = found.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    pairs = found.select("key", F.col("item_id").cast("string").alias("item"), "exact").groupBy("key", "item").agg(F.max("exact").alias("exact"))
+    by_item = pairs.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.count_if("exact").alias("n_items"), F.count(F.lit(1)).alias("n_near"))
     joined = counts.join(n_hit, "key", "left").join(by_item, "key", "left")
     items_of = F.coalesce("items", F.expr("cast(array() as array<string>)"))
     return joined.select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(items_of).cast("long").alias("n_items"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )

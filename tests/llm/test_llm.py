@@ -622,31 +622,55 @@ def test_added_tokens_get_the_ids_of_the_unmodified_library(spark, tmp_path):
 # --- decontamination ---
 
 
-def test_decontamination_brute_force(spark):
+def brute_matches(rows, items, width=10):
+    """Per row: the contract's columns and the number of items with a proximity match."""
+    words = lambda t: re.findall(r"[0-9a-z]+", (t or "").lower())
+    windows = {(i, tuple(w[k : k + width])) for i, t in items if (w := words(t)) for k in range(max(1, len(w) - width + 1))}
+    length: dict = {}
+    for _, t, *_ in rows:
+        for x in words(t):
+            length[x] = length.get(x, 0) + 1
+    out = []
+    for d, t, *_ in rows:
+        w, hit, ids, near = words(t), set(), set(), set()
+        for i, win in windows:
+            if any(x not in length for x in win):
+                continue
+            rarest = min(win, key=lambda x: (length[x], x))
+            for k, x in enumerate(w):
+                if tuple(w[k : k + len(win)]) == win:
+                    hit.update(range(k, k + len(win)))
+                    ids.add(i)
+                if x == rarest and set(win) <= set(w[max(0, k - width + 1) : k + width]):
+                    near.add(i)
+        out.append((d, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(str(i) for i in ids if i is not None)).encode()).hexdigest(), bool(hit), len(near)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most", [30_000, 5])
+def test_decontamination_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "MAX_TERMS", most)
+    if most == 5:
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
     rng = random.Random(9)
     pick = lambda n: [rng.choice(WORDS[:60]) for _ in range(n)]
-    items = [(i, " ".join(pick(rng.choice([3, 9, 10, 25])))) for i in range(12)] + [(90, None), (91, "..."), (0, "again w1 w2")]
+    items = [(i, " ".join(pick(rng.choice([3, 9, 10, 25])))) for i in range(12)] + [(90, None), (91, "..."), (0, "again w1 w2"), (30, "w1 w1 w1"), (31, "w2 w2 w2 w2 w2 w2 w2 w2 w2 w2 w2 w3"), (None, "w5 w6")]
     rows = []
-    for i in range(60):
+    for i in range(80):
         w = pick(rng.randint(0, 80))
         if i % 3 == 0:
             w[rng.randint(0, len(w)) :] += items[rng.randrange(12)][1].upper().split()
+        elif i % 3 == 1:  # the words of a window in another order, some way apart
+            part = items[rng.randrange(12)][1].split()[:10]
+            rng.shuffle(part)
+            w[rng.randint(0, len(w)) :] += [x for p in part for x in ([p, "gap"] if rng.random() < 0.4 else [p])]
         rows.append((i, ", ".join(w), "a"))
-    rows += [(500, None, "a"), (501, "", "a"), (3, rows[3][1], "a")]
+    rows += [(500, None, "a"), (501, "", "a"), (3, rows[3][1], "a"), (None, "w1 w1 w1 w2", "a"), (502, "w2 " * 40 + "w3", "a"), (503, "w6 w5", "a")]
     found = decontam.decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), 10)
-    words = lambda t: re.findall(r"[0-9a-z]+", (t or "").lower())
-    windows = {(i, tuple(w[k : k + 10])) for i, t in items if (w := words(t)) for k in range(max(1, len(w) - 9))}
-    want = []
-    for d, t, _ in rows:
-        w, hit, ids = words(t), set(), set()
-        for i, win in windows:
-            for k in range(len(w) - len(win) + 1):
-                if tuple(w[k : k + len(win)]) == win:
-                    hit.update(range(k, k + len(win)))
-                    ids.add(str(i))
-        want.append((d, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
-    assert sorted(map(tuple, found.collect())) == sorted(want)
-    assert decontam.decontaminate(frame(spark, rows[:3]), spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
+    want = brute_matches(rows, items)
+    assert sorted(map(tuple, found.collect()), key=str) == want
+    assert any(x[6] > x[3] for x in want)
+    assert decontam.decontaminate(frame(spark, rows[:3]), spark.createDataFrame([], "item_id long, text string")).where("contaminated or n_near > 0").count() == 0
 
 
 def test_decontamination_without_a_term_set_is_the_same(spark, monkeypatch):
@@ -656,8 +680,12 @@ def test_decontamination_without_a_term_set_is_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontam.decontaminate(docs, items).collect())) == one
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, ["b", "x", "a", "c"]), (2, ["a", "y", "y", "y", "y", "b"])], "key long, w array<string>")
-    index = decontam.build_index(docs, spark.createDataFrame([("a",)], "term string"), 2)
-    windows = spark.createDataFrame([(7, ["a", "b", "c"], "a")], "item_id long, window array<string>, term string")
-    assert [(r.key, r.item_id) for r in decontam.proximity_matches(index, windows).collect()] == [(1, 7)]
+def test_proximity_of_a_long_document(spark):
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, [(1, "pad " * 50_000 + "c x b y a " + "pad a " * 2000, "s"), (2, "a " + "pad " * 9 + "b c", "s"), (3, None, "s")])
+    clash = docs.withColumns({c: F.lit(1) for c in ("key", "term", "position", "w", "n_words", "size")})
+    items = spark.createDataFrame([(7, "a b c", 1), (8, "pad", 2)], "item_id long, text string, window int")
+    found = {r.doc_id: r for r in decontam.decontaminate(clash, items).collect()}
+    assert [(found[i].n_items, found[i].n_near, found[i].n_hit) for i in (1, 2, 3)] == [(1, 2, 52_000), (1, 1, 9), (0, 0, 0)]
+    assert decontam.decontaminate(docs.limit(0), items).count() == 0
