@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised step works on at once (one longer document is taken alone).
 SLICE_BYTES = 1 << 21
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every node sees: ``spark.checkpoint.dir``, or, where that is unset, a local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder that every node sees: ``spark.checkpoint.dir``.
+
+    Only where one machine runs all of Spark may it be unset; a local folder is taken then.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "quantloom-shared")
     os.makedirs(own, exist_ok=True)
     return "file://" + own
@@ -32,18 +41,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame that ``materialize`` returned; nothing may read it afterwards."""
     path = getattr(df, "_shared_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def written() -> list[str]:
+    """Folders that ``materialize`` has written in this session and nobody has deleted."""
+    return list(_WRITTEN)
+
+
+def sweep(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
+    """Delete what was written after ``before`` was taken, but for the files behind ``keep``; frames that read it are of no use afterwards."""
+    for path in written():
+        if path not in before and path != keep._shared_path:
+            _delete(spark, path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +78,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def worker_state() -> dict:
+    """What this Python process keeps from one task to the next, by name.
+
+    The package's functions travel by value and bring new globals with every
+    task, so the state is a module of its own in the process.
+    """
+    name = "_quantloom_worker"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
+def other_columns(df: DataFrame, results) -> list[str]:
+    """Columns of ``df`` but for those that have the name of a result, in any case."""
+    taken = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def text_buffers(column):
     """(uint8 data, int64 offsets) of an Arrow string column; a null is an empty text."""
     import numpy as np

@@ -150,14 +150,15 @@ def find_matches(docs: DataFrame, items: DataFrame, width: int = 10):
     return index, materialize(places.join(owners, "wid").select("key", "start", "size", "exact", "item_id"), "matches")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, tag_col: str | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near; with ``tag_col``, a long, also tag.
 
     The first columns are from exact phrases; n_near counts the items with a
     proximity match, those with an exact one included.
     """
-    index, found = find_matches(docs, items, width)
-    counts = index.where("term is null").select("key", "doc_id", F.col("position").cast("long").alias("n_words"))
+    names = ["doc_id", *([tag_col] if tag_col else [])]
+    index, found = find_matches(docs.select(F.struct(*names).alias("doc_id"), "text"), items, width)
+    counts = index.where("term is null").select("key", "doc_id.*", F.col("position").cast("long").alias("n_words"))
     spans = found.where("exact").groupBy("key", "start").agg(F.max("size").alias("size"))
     before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("end", F.col("start") + F.col("size")).withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
@@ -168,6 +169,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     items_of = F.coalesce("items", F.expr("cast(array() as array<string>)"))
     return joined.select(
         "doc_id",
+        *([F.col(tag_col).cast("long").alias("tag")] if tag_col else []),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),

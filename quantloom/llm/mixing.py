@@ -10,12 +10,15 @@ documents are dealt into blocks by hash, the blocks of an epoch follow one
 another in a hashed order, and the part is cut inside one block only.
 
 So a hot source is never gathered or sorted whole: documents are summed by
-block, blocks by source, and only each source's cut block is put in order.  What
-comes out is one row for each source, so the texts are not shuffled.
+block, blocks by ranges of the hashed order, and only the range that holds a
+source's cut, and in it the cut block, are put in order.  With as many ranges as
+the root of the number of blocks, no task orders more than about that many rows.
+What comes out is one row for each source, so the texts are not shuffled unless
+``apply_mixture`` is asked for the rows in the order of the permutation.
 
 Defined results: a null source is a source of its own; a null or empty text
 has no tokens and is kept once in every whole epoch; identical rows are dealt
-alike; extra columns are kept; no rows give no rows.
+alike; extra columns are kept by ``apply_mixture``; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -114,15 +117,23 @@ def solve(base: DataFrame, max_repeat: float | None, target_entropy: float | Non
     for r, w, x in zip(found, weights, repeats):
         whole = math.floor(x + 1e-9)
         budget = max(0, round((x - whole) * r["tokens"]))
+        if budget and budget >= r["tokens"]:  # rounded up to all of it
+            whole, budget = whole + 1, 0
         rows.append((r["source"], float(w), float(exponent), int(whole), int(budget), max(1, -(-r["tokens"] // block_tokens))))
     plan = spark.createDataFrame(rows, "source string, weight double, exponent double, whole int, budget long, blocks long")
-    dealt = _with_plan(base, plan).withColumn("block", _block(F.col("blocks")))
-    blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.max("budget").alias("budget")).withColumn("turn", _turn(seed))
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1))
-    ends = blocks.withColumn("before", F.coalesce(before, F.lit(0))).where("before <= budget and budget < before + size").select("source", F.col("block").alias("cut_block"), F.col("turn").alias("cut_turn"), "before").collect()
+    ranges = min(1 << 16, math.ceil(math.sqrt(max((r[5] for r in rows), default=1))))
+    dealt = _with_plan(base, plan).withColumn("block", _block(F.col("blocks"))).withColumn("turn", _turn(seed))
+    # turns are spread evenly over the longs, so a division makes even ranges in their order
+    dealt = dealt.withColumn("range", F.shiftright(F.shiftright("turn", 32) * ranges, 32))
+    cuts = _cut(dealt.groupBy("source", "range").agg(F.sum("n_tokens").alias("size"), F.max("budget").alias("budget")), ["range"])
+    cuts = spark.createDataFrame(cuts.select("source", F.col("range").alias("cut_range"), "before").collect(), "source string, cut_range long, before long")
+    dealt = _with_plan(dealt, cuts).where("range = cut_range")
+    blocks = dealt.groupBy("source", "block", "turn").agg(F.sum("n_tokens").alias("size"), F.max("budget").alias("budget"), F.max("before").alias("earlier"))
+    ends = _cut(blocks, ["turn", "block"], "earlier").select("source", F.col("block").alias("cut_block"), F.col("turn").alias("cut_turn"), "before").collect()
     cuts = spark.createDataFrame([tuple(r) for r in ends], "source string, cut_block long, cut_turn long, before long")
-    inside = _with_plan(dealt, cuts).where("block = cut_block")
+    inside = _with_plan(dealt.drop("before"), cuts).where("block = cut_block")
     # documents with the same hash are copies of one row: all or none of them
+    inside = inside.groupBy("source", "h").agg(F.sum("n_tokens").alias("n_tokens"), F.max("budget").alias("budget"), F.max("before").alias("before"))
     reached = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("h").rangeBetween(Window.unboundedPreceding, 0))
     last = inside.withColumn("reached", reached).where("before + reached <= budget").groupBy("source").agg(F.max("h").alias("cut_h")).collect()
     cut_h = {r["source"]: r["cut_h"] for r in last}
@@ -131,6 +142,13 @@ def solve(base: DataFrame, max_repeat: float | None, target_entropy: float | Non
     return spark.createDataFrame(full, "source string, weight double, exponent double, whole int, budget long, blocks long, cut_turn long, cut_block long, cut_h long")
 
 
+def _cut(parts: DataFrame, order: list[str], earlier: str | None = None) -> DataFrame:
+    """The part of each source in which its budget ends, with the tokens before it; ``earlier``: tokens before all of the parts."""
+    sum_before = F.sum("size").over(Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.coalesce(sum_before, F.lit(0)) + (F.col(earlier) if earlier else F.lit(0))
+    return parts.withColumn("before", before).where("before <= budget and budget < before + size")
+
+
 def _with_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
     """Add the columns of a plan, which has one row for each of at most MAX_SOURCES sources."""
     plan = plan.withColumnRenamed("source", "__source")
@@ -157,10 +175,18 @@ def plan_mixture(docs: DataFrame, max_repeat: float | None = 2.0, target_entropy
     return _copies(base, plan, seed).select("doc_id", "source", "n_tokens", "weight", "exponent", "block", "turn", "n_copies")
 
 
-def apply_mixture(docs: DataFrame, max_repeat: float | None = 2.0, target_entropy: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mixture reads it; without a shuffle of the texts."""
+def apply_mixture(docs: DataFrame, max_repeat: float | None = 2.0, target_entropy: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS, ordered: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mixture reads it.
+
+    ``ordered``: epoch by epoch, and in each the blocks of all sources in the
+    order of their permutation, which shuffles the texts once; else rows stay
+    where they are.
+    """
     base = materialize(_counted(docs, seed), "mixing")
     plan = solve(base, max_repeat, target_entropy, seed, block_tokens)
     names = docs.columns
     held = _copies(docs.select(F.struct(*names).alias("__row"), F.col("source"), _hash(seed).alias("h")), plan, seed)
-    return held.where("n_copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select("__row.*")
+    rows = held.where("n_copies > 0").select("__row", "turn", "block", "h", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("epoch"))
+    if ordered:
+        rows = rows.repartitionByRange("epoch", "turn", "block", "h").sortWithinPartitions("epoch", "turn", "block", "h")
+    return rows.select("__row.*")

@@ -98,10 +98,10 @@ def _signatures(width: int):
 
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
-            ids = batch.column("doc_id")
+            ids, tags = batch.column("doc_id"), batch.column("tag")
             for a, b in slices(offs):
                 n, s1, s2 = _set_hashes(shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], width))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(s1), pa.array(s2)], ["doc_id", "n", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), tags.slice(a, b - a), pa.array(n), pa.array(s1), pa.array(s2)], ["doc_id", "tag", "n", "s1", "s2"])
 
     return run
 
@@ -426,13 +426,18 @@ def _links(docs: DataFrame, members: DataFrame, width: int, percent: int):
     return materialize(tasks.groupBy("bin").applyInArrow(_product(percent), "a long, b long"), "links"), split
 
 
-def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard similarity of ``percent``/100 or more.
 
-    Returns (doc_id, n_shingles, component_id) for every row of ``docs``.
+    Returns (doc_id, n_shingles, component_id) for every row of ``docs``.  With
+    ``tag_col``, a long, also ``tag``, which tells rows of one id apart, and
+    ``group``, the component's own number: components of different texts that
+    share an id may have one component_id, but not one group.  It is null for a
+    set without words, and where no row of the set has an id.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(docs.mapInArrow(frugal(_signatures(width)), "doc_id long, n long, s1 long, s2 long"), "signatures")
+    tag = F.col(tag_col).cast("long") if tag_col else F.lit(None).cast("long")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tag.alias("tag"))
+    signed = materialize(docs.mapInArrow(frugal(_signatures(width)), "doc_id long, tag long, n long, s1 long, s2 long"), "signatures")
     classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = classes.where("rep is not null")
     classes = materialize(classes.withColumn("cid", F.col("rep")), "classes")
@@ -440,13 +445,14 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
         nth = F.row_number().over(Window.partitionBy("rep").orderBy("s1", "s2"))
         classes = materialize(classes.withColumn("nth", nth).withColumn("cid", F.when(F.col("nth") == 1, F.col("rep")).otherwise(F.expr("s1 | shiftleft(1L, 63)"))).drop("nth"), "classes")
     links, split = _links(docs, _families(docs, classes, width, percent), width, percent)
-    rows = signed.select("doc_id", "n", "s1", "s2")
+    rows = signed.select("doc_id", "tag", "n", "s1", "s2")
     if links is None:
-        labelled = classes.select("s1", "s2", F.col("rep").alias("least"))
+        labelled = classes.select("s1", "s2", F.col("rep").alias("least"), F.col("cid").alias("group"))
     else:
         comp = connected_components(links) if split else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
         labels = classes.select("s1", "s2", "cid", "rep").join(comp, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
         labels = materialize(labels.select("s1", "s2", "rep", "component"), "labels")
-        labelled = labels.join(labels.groupBy("component").agg(F.min("rep").alias("least")), "component").select("s1", "s2", "least")
+        labelled = labels.join(labels.groupBy("component").agg(F.min("rep").alias("least")), "component").select("s1", "s2", "least", F.col("component").alias("group"))
     joined = rows.join(labelled, ["s1", "s2"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")]
+    return joined.select(*out, *(["tag", F.when(F.col("n") > 0, F.col("group")).alias("group")] if tag_col else []))

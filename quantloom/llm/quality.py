@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import other_columns
+
 #: White space between words: 0x20 and 0x09-0x0D.
 SPACE = "[ \\t-\\r]+"
 #: Rows, about, of the sample on which the rules are estimated, and characters of a text that count there; it decides their order only.
@@ -182,5 +184,5 @@ def quality_filter(docs: DataFrame, rules: list[Rule] | None = None, sample_rows
 
 
 def _unpacked(out: DataFrame, docs: DataFrame, results: dict[str, Column]) -> DataFrame:
-    kept = [F.col("__row").getField(c).alias(c) for c in docs.columns if c not in results]
+    kept = [F.col("__row").getField(c).alias(c) for c in other_columns(docs, results)]
     return out.select(*kept, *[c.alias(n) for n, c in results.items()])

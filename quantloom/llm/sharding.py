@@ -8,7 +8,8 @@ free, until the table is full.  A row's key is hashed to a slot, and the table
 a shard leaves, most other slots keep their shard.
 
 Defined results: a null key is placed by the empty string; repeated keys go to
-the same shard; extra columns are kept; no rows give no rows.
+the same shard; extra columns are kept, but one that has the name of a result
+(slot, shard) is replaced by it; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import other_columns
+
 #: Slots: a prime well above a hundred for each shard.  4 + 4 bytes each, so the broadcast is about half a MB.
 TABLE_SIZE = 65_537
 
@@ -67,5 +70,5 @@ def assign_shards(df: DataFrame, key: str, shards: list[str], size: int = TABLE_
     cells = F.split(F.lit(",".join(map(str, owner))), ",")
     names = F.array(*[F.lit(s) for s in shards])
     table = df.sparkSession.range(1).select(F.posexplode(cells).alias("slot", "i")).select("slot", F.get(names, F.col("i").cast("int")).alias("shard"))
-    placed = df.withColumn("slot", slot_of(F.col(key), size))
-    return placed.join(F.broadcast(table), "slot")
+    placed = df.select(*[F.col(f"`{c}`") for c in other_columns(df, ("slot", "shard"))], slot_of(F.col(key), size).alias("slot"))
+    return placed.join(F.broadcast(table), "slot").select(*placed.columns, "shard")

@@ -18,17 +18,18 @@ Defined results of ``encode_documents``/``read_documents``: ids are those of
 the library with add_special_tokens=False and its defaults otherwise, so an
 added token in a text gets its own id; a null or empty
 text has the end id alone; repeated ids follow each other; a null doc_id sorts
-first; extra columns are ignored; no rows give no rows.
+first, and documents of one id stand in the order of their texts' hashes; extra
+columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, shared_path, slices, text_buffers
+from .common import frugal, shared_path, slices, text_buffers, worker_state
 
 MAGIC = b"QS8B"
 #: Ids in a word and bits of each, by selector; selector 0 is the escape.
@@ -242,11 +243,34 @@ def _whole_spans(raw: bytes, offsets, pattern, alone: bool):
     return [(a, b) for a, b in zip(cut[:-1], cut[1:]) if pattern.search(raw, a, b)]
 
 
+def _parts_at_blanks(tokenizer) -> bool:
+    """Whether a tokenizer never joins text over the places where ``_cuts`` cuts: byte-level, by the library's own pattern, text unchanged."""
+    import json
+
+    spec = json.loads(tokenizer.to_str())
+    before = spec.get("pre_tokenizer") or {}
+    model = spec.get("model") or {}
+    plain = spec.get("normalizer") is None and spec.get("truncation") is None and spec.get("padding") is None and spec.get("post_processor") is None
+    plain = plain and model.get("type") == "BPE" and not model.get("dropout")
+    return plain and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
+
+
+def _whole_texts(tokenizer, data, offsets):
+    """Ids of a buffer of texts, each encoded as a whole by the library."""
+    import numpy as np
+
+    raw, cut = data.tobytes(), offsets.tolist()
+    found = [e.ids for e in tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(cut[:-1], cut[1:])], add_special_tokens=False)]
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((x for ids in found for x in ids), np.uint32, int(n.sum())), n
+
+
 def make_tokenizer(path: str, cache_limit: int = 300_000, literal: bool = True):
     """A function from a buffer of texts (bytes, offsets) to their ids (uint32) and the number of ids of each text.
 
-    Texts are cut at places over which the tokenizer never joins text, so the
-    ids of the pieces are those of the whole text.  Equal pieces are found by
+    Texts are cut at places over which a byte-level tokenizer never joins text,
+    so the ids of the pieces are those of the whole text; with a tokenizer of
+    another kind texts are encoded whole.  Equal pieces are found by
     their hash and compared byte for byte.  Pieces are encoded once, many in a
     call, and kept for as long as the worker process lives: a new and an old
     generation, each of up to half of ``cache_limit``; pieces of the old one
@@ -263,7 +287,7 @@ def make_tokenizer(path: str, cache_limit: int = 300_000, literal: bool = True):
     from .wordhash import run_hashes
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    kept = tokenizers.__dict__.setdefault("_kept_by_path", {})
+    kept = worker_state().setdefault("tokenizers", {})
     name = path, literal
     if name not in kept:
         fresh = tokenizers.Tokenizer.from_file(path)
@@ -274,8 +298,10 @@ def make_tokenizer(path: str, cache_limit: int = 300_000, literal: bool = True):
             added = _added_tokens(fresh)
         size = fresh.get_vocab_size(with_added_tokens=True)
         blank = np.fromiter(((fresh.id_to_token(i) or "").startswith("\u0120") for i in range(size)), bool, size)
-        kept[name] = (fresh, blank, _byte_classes(), [{}, {}], added)
-    tokenizer, blank, classes, generations, (pattern, alone) = kept[name]
+        kept[name] = (fresh, blank, _byte_classes(), [{}, {}], added, _parts_at_blanks(fresh))
+    tokenizer, blank, classes, generations, (pattern, alone), parted = kept[name]
+    if not parted:
+        return lambda data, offsets: _whole_texts(tokenizer, data, offsets)
     line_end = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32)
 
     def one_by_one(pieces, cache):
@@ -368,7 +394,7 @@ def _encode_rows(path: str, end_id: int):
         from pyspark import TaskContext
 
         tokenize = make_tokenizer(path, literal=False)
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
             for a, b in slices(offs, IMAGE_BYTES):
@@ -379,25 +405,28 @@ def _encode_rows(path: str, end_id: int):
                     [
                         pa.array([part], pa.int32()),
                         pa.array([number], pa.int32()),
+                        pa.array([before], pa.int64()),
                         pa.array([len(flat)], pa.int64()),
                         pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                         pa.array([pack_image(lengths + 1, flat)], pa.binary()),
                     ],
-                    ["part", "number", "n_ids", "doc_ids", "image"],
+                    ["part", "number", "before", "n_ids", "doc_ids", "image"],
                 )
-                number += 1
+                number, before = number + 1, before + len(flat)
 
     return run
 
 
-IMAGE_SCHEMA = "part int, number int, n_ids long, doc_ids array<bigint>, image binary"
+IMAGE_SCHEMA = "part int, number int, before long, n_ids long, doc_ids array<bigint>, image binary"
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0) -> DataFrame:
     """Write the ids of every text, in ascending doc_id order, as file images to the folder ``out``; returns the images."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # the text's hash as a second key: an id that repeats very often is dealt to several tasks
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     ordered.mapInArrow(frugal(_encode_rows(tokenizer_path, end_id)), IMAGE_SCHEMA).write.option("compression", "none").parquet(out)
     return spark.read.schema(IMAGE_SCHEMA).parquet(out)
 
@@ -423,18 +452,15 @@ def _decode_rows(batches):
 def read_documents(images: DataFrame) -> DataFrame:
     """Decode file images: doc_id, start (ids before the document), n_tokens, ids_crc32."""
     spark = images.sparkSession
-    sizes = images.select("part", "number", "n_ids")
-    totals = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one number for each task of the writer
-    before, total = [], 0
+    totals = images.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one number for each task of the writer
+    bases, total = [], 0
     for r in totals:
-        before.append((r["part"], total))
+        bases.append((r["part"], total))
         total += r["n"]
-    base = spark.createDataFrame(before, "part int, base long")
-    within = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).select("part", "number", "start")
-    # two longs and an int for each 2 MB of text: small enough to broadcast up to 32 million images' texts
-    joined = images.join(starts, ["part", "number"])
-    return joined.select("doc_ids", "start", "image").mapInArrow(frugal(_decode_rows), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # an image knows how many ids its own task wrote before it, so only a long for each task is broadcast, and no image is shuffled
+    base = spark.createDataFrame(bases, "part int, base long")
+    joined = images.join(F.broadcast(base), "part")
+    return joined.select("doc_ids", (F.col("base") + F.col("before")).alias("start"), "image").mapInArrow(frugal(_decode_rows), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:

@@ -7,6 +7,8 @@ different ones differ but for about one pair in 2**64.
 
 from __future__ import annotations
 
+from .common import worker_state
+
 
 def mix(x):
     """The finaliser of splitmix64: every input bit reaches every output bit."""
@@ -20,12 +22,10 @@ def mix(x):
 
 
 def _tables(length: int):
-    """Tables of this process; kept outside the module, whose functions are pickled with what they refer to."""
-    import sys
-
+    """Tables of powers up to a length, and of bytes."""
     import numpy as np
 
-    state = sys.__dict__.setdefault("_quantloom_wordhash", {})
+    state = worker_state().setdefault("wordhash", {})
     if "bytes" not in state:
         with np.errstate(over="ignore"):
             state["bytes"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))

@@ -256,6 +256,12 @@ def test_sharding_odd_rows(spark, odd):
     found = sharding.assign_shards(odd, "doc_id", ["a", "b"], 101)
     assert found.count() == odd.count() and found.where("shard is null").count() == 0
     assert len({(r.slot, r.shard) for r in found.where("doc_id = 4").collect()}) == 1
+    clash = odd.withColumnRenamed("lang", "Shard").withColumnRenamed("source", "slot").withColumnRenamed("text", "i")
+    again = sharding.assign_shards(clash, "doc_id", ["a", "b"], 101)
+    assert sorted(again.columns) == ["doc_id", "i", "n_chars", "shard", "slot"]
+    assert sorted(map(str, again.select("doc_id", "slot", "shard").collect())) == sorted(map(str, found.select("doc_id", "slot", "shard").collect()))
+    assert sharding.assign_shards(odd, "source", ["a", "b"], 101).where("shard is null").count() == 0
+    assert sharding.assign_shards(odd.limit(0), "doc_id", ["a"], 101).count() == 0
 
 
 # --- mixing ---
@@ -289,6 +295,25 @@ def test_mixture_entropy_and_partial_epoch(spark):
     assert mixing.plan_mixture(frame(spark, []).limit(0)).count() == 0
 
 
+def test_mixture_of_odd_rows_and_its_order(spark, odd):
+    from pyspark.sql import functions as F
+
+    plan = mixing.plan_mixture(odd).collect()
+    assert len(plan) == odd.count() and all(r.n_copies >= 1 for r in plan)
+    assert len({r.n_copies for r in plan if r.doc_id == 4}) == 1, "identical rows are dealt alike"
+    clash = odd.withColumns({c: F.lit("x") for c in ("h", "block", "turn", "n_copies", "weight", "__source", "size")})
+    assert mixing.apply_mixture(clash).columns == clash.columns
+    rows = [(i, f"w{i} " * 7, "ab"[i % 5 == 0]) for i in range(500)] + [(7, "w7 " * 7, "a")] * 200
+    found = mixing.apply_mixture(frame(spark, rows), block_tokens=40, ordered=True).collect()
+    plan = {r.doc_id: r for r in mixing.plan_mixture(frame(spark, rows), block_tokens=40).collect()}
+    turns = [plan[r.doc_id].turn for r in found]
+    cut = next(i for i in range(1, len(turns)) if turns[i] < turns[i - 1])
+    assert turns[:cut] == sorted(turns[:cut]) and turns[cut:] == sorted(turns[cut:]), "an epoch is a permutation of blocks, then the next begins"
+    assert len(found) == sum(plan[i].n_copies for i, *_ in rows)
+    one = frame(spark, [(1, "x", "a"), (2, "y z", "b")])
+    assert mixing.apply_mixture(one, max_repeat=1.6).count() == 3, "a budget that rounds up to all of a source reads all of it"
+
+
 # --- spans ---
 
 
@@ -529,6 +554,15 @@ def test_toxicity_odd_rows_and_maxima(spark, odd):
     labels = spark.createDataFrame([(2, 1, 0), (4, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.detect(odd, labels).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    clash = odd.withColumnsRenamed({"lang": "Score", "source": "held_out"})
+    model = toxicity.fit(odd, labels)
+    assert toxicity.score(clash, model).columns == ["doc_id", "text", "held_out", "n_chars", "score"]
+    assert toxicity.detect(odd.limit(0), labels).count() == 0 and toxicity.detect(odd, labels.limit(0)).count() == odd.count()
+    seen = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 3 != 1)
+    marks = spark.createDataFrame([(seen, 1, 1)], "doc_id long, quality int, toxic int")
+    twice = [frame(spark, [(seen, t, "a") for t in order]) for order in (("x y", "a b"), ("a b", "x y"))]
+    picked = [toxicity.training_rows(d, marks)[0].text for d in twice]
+    assert picked == ["a b", "a b"], "of an id with several texts the smallest is used, whatever their order"
     model = toxicity.train(["bad bad word", "good word", "bad thing", "fine thing", "x bad", "y ok"] * 4, [1, 0, 1, 0, 1, 0] * 4, ["en"] * 24, epochs=3)
     texts = ["bad word here", "", "one", "two three four five"]
     raw = [t.encode() for t in texts]
@@ -590,6 +624,28 @@ def test_token_files(spark, odd, tmp_path):
     assert sum(len(token_io.unpack_image(open(f, "rb").read())[1]) for f in files) == start
 
 
+def test_another_kind_of_tokenizer_reads_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello  World don't", "", "E\u0301A\u00c9 x\ny. z", "a\u00a0b <|endoftext|>c"]
+    raw = [x.encode() for x in texts]
+    ids, n = token_io.make_tokenizer(path, literal=False)(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_files_of_odd_tables(spark, odd):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_io.tokenize_and_read(odd.limit(0), path).count() == 0
+    rows = [(5, f"text {i}", "a") for i in range(300)] + [(4, "x", "a"), (6, None, "a")]
+    clash = frame(spark, rows).withColumnsRenamed({"lang": "h", "source": "start"})
+    found = sorted(token_io.tokenize_and_read(clash, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [4] + [5] * 300 + [6] and all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:]))
+
+
 def test_added_tokens_get_the_ids_of_the_unmodified_library(spark, tmp_path):
     import public_tokenizers
     import tokenizers
@@ -606,8 +662,8 @@ def test_added_tokens_get_the_ids_of_the_unmodified_library(spark, tmp_path):
     raw = [x.encode() for x in texts]
     for alone in (True, False):
         token_io.make_tokenizer(path, literal=False)
-        kept = tokenizers._kept_by_path
-        kept[path, False] = (*kept[path, False][:4], (kept[path, False][4][0], alone))
+        kept = token_io.worker_state()["tokenizers"]
+        kept[path, False] = (*kept[path, False][:4], (kept[path, False][4][0], alone), kept[path, False][5])
         run = token_io.make_tokenizer(path, cache_limit=500, literal=False)
         for a in range(0, len(raw), 300):
             some = raw[a : a + 300]
