@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised step works on at once (one longer document is taken alone).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _WRITTEN: list[str] = []
 
 

@@ -62,25 +62,22 @@ def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Positional postings of ``terms``, (key, term, position), and one row for each document: term null, position its number of words, doc_id.
+    """Positional postings (key, term, position) of ``terms``; the first row of a document, with or without a term, has its doc_id and n_words.
 
     ``docs``: key, doc_id and the word array w.
     """
     rows = terms.limit(MAX_TERMS + 1).collect()
-    at = "if(size(w) > 0, sequence(0, size(w) - 1), cast(array() as array<int>))"
-    end = "named_struct('term', cast(null as string), 'position', size(w))"
+    first = F.col("position").isNull() | (F.col("position") == 0)
+    # words go by one at a time, so no list of postings is ever built for a document
+    each = docs.withColumn("n", F.size("w")).select("key", "doc_id", "n", F.posexplode_outer("w").alias("position", "term"))
     if len(rows) <= MAX_TERMS:
-        few = [r["term"] for r in rows]
-        hits = F.filter(F.expr(at), lambda p: F.get("w", p).isin(few)) if few else F.expr("cast(array() as array<int>)")
-        held = docs.select("key", "doc_id", "w", hits.alias("hits"))
-        postings = F.expr(f"concat(array({end}), transform(hits, p -> named_struct('term', get(w, p), 'position', p)))")
-        flat = held.select("key", "doc_id", F.explode(postings).alias("x"))
+        known = F.col("term").isin([r["term"] for r in rows]) if rows else F.lit(False)
     else:
-        every = docs.select("key", "doc_id", F.explode(F.expr(f"concat(array({end}), transform({at}, p -> named_struct('term', get(w, p), 'position', p)))")).alias("x"))
-        known = _small(terms.select(F.col("term").alias("__t")), F.octet_length("__t") + 16).withColumn("__known", F.lit(True))
-        flat = every.join(known, F.col("x.term") == F.col("__t"), "left").where("x.term is null or __known")
-    flat = flat.select("key", F.when(F.col("x.term").isNull(), F.col("doc_id")).alias("doc_id"), "x.term", "x.position")
-    return materialize(flat, "index")
+        table = _small(terms.select(F.col("term").alias("__t")), F.octet_length("__t") + 16).withColumn("__known", F.lit(True))
+        each = each.join(table, F.col("term") == F.col("__t"), "left")
+        known = F.coalesce("__known", F.lit(False))
+    each = each.where(first | known)
+    return materialize(each.select("key", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("n").cast("long")).alias("n_words"), F.when(known, F.col("term")).alias("term"), "position"), "index")
 
 
 def plan_windows(windows: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -158,7 +155,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, tag_col: s
     """
     names = ["doc_id", *([tag_col] if tag_col else [])]
     index, found = find_matches(docs.select(F.struct(*names).alias("doc_id"), "text"), items, width)
-    counts = index.where("term is null").select("key", "doc_id.*", F.col("position").cast("long").alias("n_words"))
+    counts = index.where("n_words is not null").select("key", "doc_id.*", "n_words")
     spans = found.where("exact").groupBy("key", "start").agg(F.max("size").alias("size"))
     before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("end", F.col("start") + F.col("size")).withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))

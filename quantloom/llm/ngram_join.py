@@ -44,9 +44,9 @@ from .graph import connected_components
 from .wordhash import mix, shingle_sets
 
 #: Keys that a block of columns holds about.
-BLOCK_KEYS = 1 << 20
+BLOCK_KEYS = 1 << 19
 #: Shingles of one row block of the product.
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 20
 #: Classes up to which the list of those that need an exact test is broadcast (8 bytes each).
 BROADCAST_CLASSES = 500_000
 

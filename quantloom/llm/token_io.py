@@ -37,7 +37,7 @@ COUNTS = (0, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK_IDS = 4096
 #: Bytes of text in one file image.
-IMAGE_BYTES = 2 << 20
+IMAGE_BYTES = 1 << 20
 
 
 def encode(ids, block: int = BLOCK_IDS):
@@ -265,7 +265,7 @@ def _whole_texts(tokenizer, data, offsets):
     return np.fromiter((x for ids in found for x in ids), np.uint32, int(n.sum())), n
 
 
-def make_tokenizer(path: str, cache_limit: int = 300_000, literal: bool = True):
+def make_tokenizer(path: str, cache_limit: int = 160_000, literal: bool = True):
     """A function from a buffer of texts (bytes, offsets) to their ids (uint32) and the number of ids of each text.
 
     Texts are cut at places over which a byte-level tokenizer never joins text,

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from .common import worker_state
 
+#: Length of the tables that a worker keeps: a little more than a slice of texts has bytes.
+KEPT = (1 << 20) + (1 << 16)
+
 
 def mix(x):
     """The finaliser of splitmix64: every input bit reaches every output bit."""
@@ -22,7 +25,7 @@ def mix(x):
 
 
 def _tables(length: int):
-    """Tables of powers up to a length, and of bytes."""
+    """Tables of powers up to a length, and of bytes; those for up to ``KEPT`` are kept for the next call."""
     import numpy as np
 
     state = worker_state().setdefault("wordhash", {})
@@ -35,11 +38,12 @@ def _tables(length: int):
     if len(state.get("up", ())) < length:
         base = 0xD6E8FEB86659FD93
         down = pow(base, -1, 1 << 64)
-        size = max(length, 1 << 16)
+        found = dict(state) if length > KEPT else state
         for name, b in (("up", base), ("down", down)):
-            powers = np.full(size, b, np.uint64)
+            powers = np.full(length if length > KEPT else KEPT, b, np.uint64)
             powers[0] = 1
-            state[name] = np.multiply.accumulate(powers)
+            found[name] = np.multiply.accumulate(powers)
+        return found
     return state
 
 
