@@ -99,6 +99,34 @@ def violations(df: DataFrame, name: str, date: str | None = None, strict: bool =
     return long.unionByName(surplus)
 
 
+def faults_by_date(df: DataFrame, name: str, dates: list[str], date: str | None = None, strict: bool = False) -> dict[str, list[str]]:
+    """Broken rules of each of ``dates`` that has any: one aggregation by date, one by key; no rows count if the dataset may not be empty."""
+    rows = df.where(F.col("trade_date").isin(dates))
+    checks = rules(name, date, strict)
+    if name == "selection_result":
+        order = Window.partitionBy("trade_date").orderBy(F.desc("total_score"), "stock_code")
+        rows = rows.withColumn("__place", F.row_number().over(order))
+        checks["ranking"] = F.col("__place") != F.col("rank")
+    counts = rows.groupBy("trade_date").agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(r) for r, c in checks.items()])
+    twice = rows.groupBy("trade_date", *[k for k in dataset(name).keys if k != "trade_date"]).count().where("count > 1").groupBy("trade_date").agg(F.sum(F.col("count") - 1).alias("duplicate_keys"))
+    found = {r["trade_date"]: r.asDict() for r in counts.join(twice, "trade_date", "left").collect()}
+    out = {}
+    for d in dates:
+        if d not in found:
+            broken = [] if dataset(name).may_be_empty else ["no rows"]
+        else:
+            broken = [f"{rule}: {found[d][rule]} rows" for rule in (*checks, "duplicate_keys") if found[d][rule]]
+        if broken:
+            out[d] = broken
+    return out
+
+
+def effective_factors(factors: DataFrame) -> dict[str, int]:
+    """Number of factors with a value, by date."""
+    some = reduce(lambda a, b: a + b, [(F.count(c) > 0).cast("int") for c in FACTORS])
+    return {r["trade_date"]: r["n"] for r in factors.groupBy("trade_date").agg(some.alias("n")).collect()}
+
+
 def validate(df: DataFrame, name: str, date: str | None = None, strict: bool = False, allow_empty: bool | None = None) -> None:
     """Raise DataQualityError with all broken rules."""
     missing = [c for c in dataset(name).names if c not in df.columns]
@@ -165,6 +193,27 @@ def coverage_gaps(daily: DataFrame, factors: DataFrame, daily_basic: DataFrame,
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def gaps_by_date(daily: DataFrame, factors: DataFrame, daily_basic: DataFrame, financial: DataFrame, basic: DataFrame, dates: list[str]) -> dict[str, dict[str, int]]:
+    """``coverage_gaps`` of several dates in one job: members of each date, those without an input, and priced codes without a master row."""
+    from .clean import member_on
+
+    spark = basic.sparkSession
+    days = spark.createDataFrame([(d,) for d in dates], "trade_date string")
+    # members of a date: as many rows as the dates' snapshots have
+    active = basic.select("stock_code", "list_date", "delist_date").distinct().withColumn("trade_date", F.explode(F.array(*[F.lit(d) for d in dates]))).where(member_on()).select("stock_code", "trade_date").distinct()
+    keys = ["stock_code", "trade_date"]
+    out = active
+    for name, df in (("daily_price", daily), ("adj_factor", factors), ("daily_basic", daily_basic)):
+        out = out.join(df.where(F.col("trade_date").isin(dates)).select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left")
+    known = financial.groupBy("stock_code").agg(F.min(F.greatest("announce_date", "report_period")).alias("known"))
+    out = out.join(known, "stock_code", "left").withColumn("financial", F.col("known") <= F.col("trade_date"))
+    names = ("daily_price", "adj_factor", "daily_basic", "financial")
+    counts = out.groupBy("trade_date").agg(F.count(F.lit(1)).alias("active"), *[F.count_if(~F.coalesce(F.col(n), F.lit(False))).alias(f"no_{n}") for n in names])
+    orphans = daily.where(F.col("trade_date").isin(dates)).select(*keys).distinct().join(basic.select("stock_code").distinct(), "stock_code", "left_anti").groupBy("trade_date").agg(F.count(F.lit(1)).alias("no_master"))
+    rows = days.join(counts, "trade_date", "left").join(orphans, "trade_date", "left").fillna(0).collect()
+    return {r["trade_date"]: {k: v for k, v in r.asDict().items() if k != "trade_date"} for r in rows}
+
+
 def recomputation_faults(selection: DataFrame, weights: dict[str, float]) -> DataFrame:
     """One row: stored scores, risk levels and texts that the row itself does not give again."""
     from ..functions.scalars import reason, risk_level, suggestion

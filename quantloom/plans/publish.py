@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.driver import check_key, stable_hash
-from ..operators.merge import fingerprint, keep_last, upsert
-from ..schemas import check_physical, conform
+from ..operators.merge import fingerprint, fingerprints, keep_last, upsert, upsert_keep_last
+from ..schemas import check_physical, conform, dataset
 
 
 class Files:
-    """Small JSON files and path tests on whatever file system the root lies on."""
+    """Small JSON files and path tests on whatever file system the root lies on.
+
+    A file appears whole or not at all: it is written under another name in the
+    same folder, then renamed.  Without ``overwrite`` the rename fails if the
+    name is taken, so of several writers one wins.  That holds on HDFS and on
+    local disks (there a hard link takes the name); on a store without such a
+    rename two writers at once are not told apart.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -27,22 +35,50 @@ class Files:
         path, fs = self._at(key)
         return fs.exists(path)
 
+    def names(self, key: str) -> list[str]:
+        """Names in a folder; none if there is no such folder."""
+        path, fs = self._at(key)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _rename(self, fs, source, target, overwrite: bool) -> bool:
+        options = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        if not overwrite and fs.getUri().getScheme() == "file":
+            nio = self._jvm.java.nio.file
+            link = lambda p: nio.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0))
+            try:
+                nio.Files.createLink(link(target), link(source))
+            except Exception as e:
+                if "FileAlreadyExists" in str(e):
+                    return False
+                raise
+            return True
+        kind = self.spark.sparkContext._gateway.new_array(options, 1)
+        kind[0] = options.OVERWRITE if overwrite else options.NONE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(source, target, kind)
+        except Exception as e:
+            if not overwrite and "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
     def write(self, key: str, value: dict, overwrite: bool) -> bool:
         """Write a JSON file; without ``overwrite`` only if there is none.  Whether it was written."""
         path, fs = self._at(key)
         if not overwrite and fs.exists(path):
             return False
-        try:
-            out = fs.create(path, overwrite)
-        except Exception:  # another writer was first
-            if not overwrite and fs.exists(path):
-                return False
-            raise
+        folder, _, name = key.rpartition("/")
+        draft, _ = self._at(f"{folder + '/' if folder else ''}.{name}.{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
         try:
             out.write(bytearray(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()))
         finally:
             out.close()
-        return True
+        try:
+            return self._rename(fs, draft, path, overwrite)
+        finally:
+            fs.delete(draft, False)
 
     def read(self, key: str) -> dict | None:
         path, fs = self._at(key)
@@ -70,74 +106,230 @@ class Publisher:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.files = spark, Files(spark, root)
 
+    def _base(self, name: str) -> str:
+        return f"processed/{name}"
+
     def _generation(self, name: str, date: str, generation: str, mode: str | None) -> str:
         middle = f"rebalance_mode={mode}/" if mode else ""
-        return f"processed/{name}/trade_date={date}/{middle}generation={generation}"
+        return f"{self._base(name)}/trade_date={date}/{middle}generation={generation}"
 
     def _commit(self, name: str, date: str, mode: str | None) -> str:
         return f"commits/{name}/{f'{mode}-' if mode else ''}{date}.json"
 
-    def publish(self, df: DataFrame, name: str, date: str, inputs: dict, mode: str | None = None, create_only: bool = True) -> dict:
-        """Write the generation unless it is there, read it back, commit.  Returns the commit that counts."""
-        rows = conform(df, name)
-        count, checksum = fingerprint(rows)
-        generation = stable_hash({"dataset": name, "date": date, "mode": mode, "inputs": inputs, "checksum": checksum})
-        key = self._generation(name, date, generation, mode)
-        if not self.files.exists(f"{key}/_SUCCESS"):
-            rows.write.mode("overwrite").parquet(f"{self.files.root}/{key}")
-        back = self.spark.read.parquet(f"{self.files.root}/{key}")
-        check_physical(back, name)
-        if fingerprint(back) != (count, checksum):
-            raise Conflict(f"{name} {date}: the stored generation differs from what was written")
-        commit = {"dataset": name, "trade_date": date, "mode": mode, "generation": generation, "key": key, "rows": count, "checksum": checksum, "inputs": inputs}
+    def _id(self, name: str, date: str, mode: str | None, inputs: dict, checksum: str) -> str:
+        return stable_hash({"dataset": name, "date": date, "mode": mode, "inputs": inputs, "checksum": checksum})
+
+    def _stored(self, name: str, keys: dict[str, str]) -> DataFrame:
+        """Rows of generations, one for each date, with the dataset's columns."""
+        root = f"{self.files.root}/{self._base(name)}"
+        found = self.spark.read.option("basePath", root).option("recursiveFileLookup", "false").parquet(*[f"{self.files.root}/{k}" for k in keys.values()])
+        found = found.withColumn("trade_date", F.col("trade_date").cast("string")) if "trade_date" in found.columns else found
+        out = found.select(*dataset(name).names)
+        check_physical(out, name)
+        return out
+
+    def publish_dates(self, df: DataFrame, name: str, dates: list[str], inputs: dict, mode: str | None = None, create_only: bool = True) -> dict[str, dict]:
+        """Publish every date of ``dates``: one job for the checksums, one that writes what is not stored yet, one that reads it back.
+
+        Then the commits, one small file for each date.  A stored generation
+        that is not what its name says is written again unless a commit points
+        to it.  Returns the commits that count, by date.
+        """
+        rows = conform(df, name).where(F.col("trade_date").isin(dates))
+        empty = fingerprint(rows.limit(0))
+        sums = {d: empty for d in dates} | fingerprints(rows, "trade_date")
+        ids = {d: self._id(name, d, mode, inputs, sums[d][1]) for d in dates}
+        keys = {d: self._generation(name, d, ids[d], mode) for d in dates}
+        filled = {d: k for d, k in keys.items() if sums[d][0]}
+        there = {d: k for d, k in filled.items() if self.files.exists(k)}
+        known = fingerprints(self._stored(name, there), "trade_date") if there else {}
+        stale = [d for d in there if known.get(d) != sums[d]]
+        for d in stale:
+            commit = self.commit_of(name, d, mode)
+            if commit and commit["key"] == keys[d]:
+                raise Conflict(f"{name} {d}: the stored generation differs from what was written")
+            self.files.delete(keys[d])
+        missing = [d for d in filled if d not in there or d in stale]
+        if missing:
+            named = rows.where(F.col("trade_date").isin(missing))
+            parts = ["trade_date", *(["rebalance_mode"] if mode else []), "generation"]
+            label = F.create_map(*[F.lit(x) for d in missing for x in (d, ids[d])])[F.col("trade_date")]
+            named = named.withColumn("generation", label)
+            if mode:
+                named = named.withColumn("rebalance_mode", F.lit(mode))
+            # a date goes to few tasks, and so to few files
+            named.repartition(*parts).write.mode("append").partitionBy(*parts).parquet(f"{self.files.root}/{self._base(name)}")
+            back = fingerprints(self._stored(name, {d: keys[d] for d in missing}), "trade_date")
+            wrong = [d for d in missing if back.get(d) != sums[d]]
+            if wrong:
+                raise Conflict(f"{name} {wrong[0]}: the stored generation differs from what was written")
+        return {d: self._mark(name, d, mode, {"dataset": name, "trade_date": d, "mode": mode, "generation": ids[d], "key": keys[d], "rows": sums[d][0], "checksum": sums[d][1], "inputs": inputs}, create_only) for d in dates}
+
+    def _mark(self, name: str, date: str, mode: str | None, commit: dict, create_only: bool) -> dict:
         if self.files.write(self._commit(name, date, mode), commit, overwrite=not create_only):
             return commit
         winner = self.files.read(self._commit(name, date, mode))
-        if winner["checksum"] != checksum or winner["inputs"] != inputs:
+        if winner["checksum"] != commit["checksum"] or winner["inputs"] != commit["inputs"]:
             raise Conflict(f"{name} {date}: a commit with other contents exists")
         return winner
 
+    def publish(self, df: DataFrame, name: str, date: str, inputs: dict, mode: str | None = None, create_only: bool = True) -> dict:
+        """``publish_dates`` of one date."""
+        return self.publish_dates(df, name, [date], inputs, mode, create_only)[date]
+
     def commit_of(self, name: str, date: str, mode: str | None = None) -> dict | None:
         return self.files.read(self._commit(name, date, mode))
 
-    def read(self, name: str, date: str, mode: str | None = None) -> DataFrame:
-        """The committed generation, after its schema, rows and checksum are verified."""
-        commit = self.commit_of(name, date, mode)
-        if commit is None:
-            raise FileNotFoundError(f"{name} {date}: no commit")
-        want = self._generation(name, date, commit["generation"], mode)
-        if commit["key"] != want or commit["generation"] != stable_hash({"dataset": name, "date": date, "mode": mode, "inputs": commit["inputs"], "checksum": commit["checksum"]}):
-            raise Conflict(f"{name} {date}: the commit does not describe its generation")
-        df = self.spark.read.parquet(f"{self.files.root}/{commit['key']}")
-        check_physical(df, name)
-        if fingerprint(df) != (commit["rows"], commit["checksum"]):
-            raise Conflict(f"{name} {date}: the generation was changed")
+    def committed(self, name: str, mode: str | None = None) -> list[str]:
+        """Dates that have a commit."""
+        head = f"{mode}-" if mode else ""
+        return [n[len(head) : -5] for n in self.files.names(f"commits/{name}") if n.startswith(head) and n.endswith(".json") and len(n) == len(head) + 15]
+
+    def read(self, name: str, date: str, mode: str | None = None, run_id: str | None = None) -> DataFrame:
+        """The committed generation, after its commit, schema, rows and checksum are verified; ``run_id``: the run it must come from."""
+        return self.read_dates(name, [date], mode, run_id)
+
+    def read_dates(self, name: str, dates: list[str], mode: str | None = None, run_id: str | None = None) -> DataFrame:
+        """Committed generations of several dates, verified in one job; a selection is also worked out again from its rows."""
+        commits = {}
+        for d in dates:
+            commit = commits[d] = self.commit_of(name, d, mode)
+            if commit is None:
+                raise FileNotFoundError(f"{name} {d}: no commit")
+            want = self._generation(name, d, commit["generation"], mode)
+            named = commit["dataset"] == name and commit["trade_date"] == d and commit["mode"] == mode and commit["key"] == want
+            if not named or commit["generation"] != self._id(name, d, mode, commit["inputs"], commit["checksum"]):
+                raise Conflict(f"{name} {d}: the commit does not describe its generation")
+            if run_id is not None and commit["inputs"].get("run_id") != run_id:
+                raise Conflict(f"{name} {d}: the commit is of another run")
+        filled = {d: c["key"] for d, c in commits.items() if c["rows"]}
+        if not filled:
+            return self.spark.createDataFrame([], dataset(name).schema)
+        df = self._stored(name, filled)
+        sums = fingerprints(df, "trade_date")
+        for d in filled:
+            if sums.get(d) != (commits[d]["rows"], commits[d]["checksum"]):
+                raise Conflict(f"{name} {d}: the generation was changed")
+        if name == "selection_result":
+            from ..operators import quality
+
+            quality.validate(df, name)
+            weights = commits[dates[0]]["inputs"].get("weights")
+            if weights and any(quality.recomputation_faults(df, weights).first()):
+                raise Conflict(f"{name}: scores, levels or texts do not follow from the rows")
         return df
 
 
 class PointerTable:
-    """A Parquet table that is replaced whole: the new version is written first, the pointer to it last."""
+    """A Parquet table in versions: new files are written first, the pointer to them last.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files = spark, Files(spark, root)
+    ``by``: a column whose values have files of their own; a merge then writes
+    only the values that come in.  Files that neither the pointer nor the one
+    before it names are deleted, so a reader that has just begun can finish.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, by: str | None = None):
+        self.spark, self.files, self.by = spark, Files(spark, root), by
 
-    def read(self, schema) -> DataFrame:
-        now = self.files.read("current.json")
-        if now is None:
+    def _now(self) -> dict:
+        return self.files.read("current.json") or {"version": None, "parts": {}, "before": {}}
+
+    def read(self, schema, only: list[str] | None = None) -> DataFrame:
+        parts = {k: v for k, v in self._now()["parts"].items() if only is None or k in only}
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.files.root}/{now['version']}")
+        return self.spark.read.schema(schema).parquet(*[f"{self.files.root}/{p}" for p in sorted(set(parts.values()))])
+
+    def _move(self, version: str, parts: dict[str, str]) -> None:
+        now = self._now()
+        self.files.write("current.json", {"version": version, "parts": parts, "before": now["parts"]}, overwrite=True)
+        named = {p.split("/")[1] for p in (*parts.values(), *now["parts"].values())}
+        for folder in self.files.names("data"):
+            if folder not in named:
+                self.files.delete(f"data/{folder}")
 
     def replace(self, df: DataFrame, version: str) -> None:
-        before = self.files.read("current.json")
-        if before and before["version"] == version:
+        """The whole table anew; nothing happens if it stands at the version."""
+        if self._now()["version"] == version:
             return
-        df.write.mode("overwrite").parquet(f"{self.files.root}/{version}")
-        self.files.write("current.json", {"version": version, "before": before and before["version"]}, overwrite=True)
+        folder = f"data/{version}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.files.root}/{folder}")
+        self._move(version, {"": folder})
+
+    def merge(self, rows: DataFrame, keys: list[str], order: list[str], version: str) -> None:
+        """Upsert by key, the last row of each key by ``order``; only the incoming values of ``by`` are read and written."""
+        now = self._now()
+        if now["version"] == version:
+            return
+        if self.by is None:
+            return self.replace(upsert_keep_last(self.read(rows.schema), rows, keys, order), version)
+        if self.by not in keys:
+            raise ValueError("the column that parts the files must be one of the keys")
+        values = [r[0] for r in rows.select(F.col(self.by).cast("string")).distinct().collect()]  # of one batch
+        if not values:
+            return
+        merged = upsert_keep_last(self.read(rows.schema, values), rows, keys, order)
+        folder = f"data/{version}-{uuid.uuid4().hex[:8]}"
+        merged.withColumn("__part", F.sha2(F.col(self.by).cast("string"), 256)).repartition("__part").write.partitionBy("__part").parquet(f"{self.files.root}/{folder}")
+        parts = {v: f"{folder}/__part={stable_text(v)}" for v in values}
+        self._move(version, now["parts"] | parts)
 
     def upsert(self, rows: DataFrame, keys: list[str]) -> None:
-        old = self.read(rows.schema)
-        merged = upsert(old, rows, keys)
-        self.replace(merged, stable_hash([str(fingerprint(rows)), self.files.read("current.json")])[:24])
+        merged = upsert(self.read(rows.schema), rows, keys)
+        self.replace(merged, stable_hash([str(fingerprint(rows)), self._now()])[:24])
+
+
+def stable_text(value: str) -> str:
+    import hashlib
+
+    return hashlib.sha256(value.encode()).hexdigest()
+
+
+class AtomicWriter:
+    """Objects written under a temporary name, checked, then under their own; the temporary one goes."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.files = Files(spark, root)
+
+    def put(self, key: str, data: bytes) -> int:
+        """Write an object whole; its size is checked before and after it takes its name.  Returns the size."""
+        path, fs = self.files._at(key)
+        draft, _ = self.files._at(f"tmp/{uuid.uuid4().hex}")
+        try:
+            out = fs.create(draft, True)
+            try:
+                out.write(bytearray(data))
+            finally:
+                out.close()
+            if fs.getFileStatus(draft).getLen() != len(data):
+                raise OSError(f"{key}: {fs.getFileStatus(draft).getLen()} of {len(data)} bytes were written")
+            fs.mkdirs(path.getParent())
+            self.files._rename(fs, draft, path, True)
+            size = fs.getFileStatus(path).getLen()
+            if size != len(data):
+                raise OSError(f"{key}: {size} of {len(data)} bytes arrived")
+            return size
+        finally:
+            fs.delete(draft, False)
+
+
+def land_raw(spark: SparkSession, root: str, rows: DataFrame, name: str, request: dict, evidence: dict) -> str:
+    """Raw provider rows under a key made of request, response and evidence; written once, read back, compared.  Returns the key."""
+    response = fingerprint(rows)
+    key = f"landing/{check_key(name)}/request={stable_hash(request)[:32]}/response={response[1][:32]}/evidence={stable_hash(evidence)[:32]}"
+    files = Files(spark, root)
+    if not files.exists(f"{key}/_SUCCESS"):
+        rows.write.mode("overwrite").parquet(f"{files.root}/{key}")
+    back = spark.read.schema(rows.schema).parquet(f"{files.root}/{key}")
+    if fingerprint(back) != response:
+        raise Conflict(f"{key}: the landed rows differ from the response")
+    files.write(f"{key}.json", {"request": request, "evidence": evidence, "rows": response[0], "checksum": response[1]}, overwrite=False)
+    return key
+
+
+def write_sorted(df: DataFrame, keys: list[str], path: str) -> None:
+    """Rows in the order of their keys, over all files: what a canonical partition looks like."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def newest_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -55,7 +55,7 @@ SELECT stock_code, report_period, announce_date, revenue_yoy, net_profit_yoy, ro
 SELECT DISTINCT {_code("k")} AS stock_code, 'ST' AS st_type, CAST(d AS STRING) AS start_date,
        CASE WHEN o_orderkey % 350 <> 0 THEN CAST(d + 30 AS STRING) END AS end_date, 'orders-' || CAST(o_orderkey AS STRING) AS source
 FROM (SELECT o_custkey % n + 1 AS k, CAST(o_orderdate AS DATE) AS d, o_orderkey
-      FROM {{orders}} CROSS JOIN (SELECT count(*) AS n FROM {{supplier}}) c WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_orderkey % 7 = 0) x""",
+      FROM {{orders}} CROSS JOIN (SELECT count(*) AS n FROM {{supplier}}) c WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') x""",
     "benchmark_price": """
 SELECT CASE f WHEN 'A' THEN '000300.SH' WHEN 'N' THEN '000905.SH' ELSE '000906.SH' END AS index_code, CAST(d AS STRING) AS trade_date,
        (low + high) / 2 AS open, high, low, amount / volume AS close, CAST(0 AS DOUBLE) AS pct_chg
@@ -65,7 +65,7 @@ FROM (SELECT l_returnflag AS f, CAST(l_shipdate AS DATE) AS d, min(l_extendedpri
       FROM {lineitem} GROUP BY l_returnflag, CAST(l_shipdate AS DATE)) b WHERE flags = 3""",
     "suspend_event": f"""
 SELECT DISTINCT {_code("l_suppkey")} AS stock_code, CAST(CAST(l_shipdate AS DATE) AS STRING) AS trade_date, 'S' AS suspend_type
-FROM {{lineitem}} WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_orderkey % 40 = 0""",
+FROM {{lineitem}} WHERE l_returnflag = 'R' AND l_linestatus = 'F'""",
     "trade_cal": """
 SELECT DISTINCT 'SSE' AS exchange, CAST(CAST(l_shipdate AS DATE) AS STRING) AS cal_date, '1' AS is_open FROM {lineitem}""",
 }
