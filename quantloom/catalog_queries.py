@@ -51,15 +51,24 @@ class Tables:
 
     @cached_property
     def eligible(self):
-        return U.eligible_universe(self.snapshot, self.risk)
+        return self.classified.where("is_eligible").select(*dataset("eligible_universe").names)
 
     @cached_property
     def inputs(self):
-        return U.factor_input(self.snapshot, self.risk)
+        return self.classified.where("is_eligible").select(*dataset("factor_input_table").names)
+
+    @cached_property
+    def classified(self):
+        return U.classify(self.snapshot)
+
+    @cached_property
+    def framed(self):
+        """All factors of the eligible rows, from one snapshot."""
+        return X.factor_frame(self.classified, X.trend(self.adjusted), self.benchmark_price)
 
     @cached_property
     def factors(self):
-        return X.factor_daily(self.inputs, self.adjusted, self.snapshot, self.benchmark_price)
+        return self.framed.drop("exclude_reasons", "risk_flags")
 
     @cached_property
     def signals(self):
@@ -68,9 +77,8 @@ class Tables:
     @cached_property
     def selection(self):
         """Monthly selection: windows over all history, then only the signal dates go on."""
-        days = F.broadcast(self.signals.select(F.col("signal_date").alias("trade_date")))
-        on = lambda df: df.join(days, "trade_date", "left_semi")
-        return R.select_top(on(self.factors), on(self.eligible), on(self.risk), config=R.ScoringConfig(top_n=20))
+        days = self.signals.select(F.col("signal_date").alias("trade_date"))
+        return R.select_classified(self.framed.join(F.broadcast(days), "trade_date", "left_semi"), R.ScoringConfig(top_n=20))  # a row a month
 
 
 # --- the derived tables in SQL ------------------------------------------------
@@ -236,8 +244,8 @@ _simple(
 )
 _simple("j4_st_intervals", lambda t: K.st_flags(t.daily_price.select(*KEYS), t.st_history), "SELECT * FROM st")
 _simple("f6_risk_filter", lambda t: t.risk, "SELECT * FROM risk")
-_simple("j5_eligible_universe", lambda t: t.eligible, "SELECT * FROM eligible")
-_simple("f8_factor_input", lambda t: t.inputs, "SELECT * FROM inputs")
+_simple("j5_eligible_universe", lambda t: U.eligible_universe(t.snapshot, t.risk), "SELECT * FROM eligible")
+_simple("f8_factor_input", lambda t: U.factor_input(t.snapshot, t.risk), "SELECT * FROM inputs")
 _simple(
     "j9_carry_state",
     lambda t: K.carry_financial_state(t.financial.where("announce_date <= '1998-06-30'"), t.financial.where("announce_date > '1998-03-31' and announce_date <= '1999-03-31'").withColumn("roe", F.col("roe") + 1)),
@@ -303,6 +311,7 @@ _simple(
 )
 _FD = dataset("factor_daily").names
 _simple("j6_factor_daily", lambda t: _r6(t.factors), _r6_sql(_FD, "factor", set(FACTORS + SCORES)))
+_simple("j6_factor_daily_by_tables", lambda t: _r6(X.factor_daily(t.inputs, t.adjusted, t.snapshot, t.benchmark_price)), _r6_sql(_FD, "factor", set(FACTORS + SCORES)))
 _w = lambda: Window.partitionBy("index_code").orderBy("trade_date")
 _simple(
     "w9_drawdown",
@@ -311,7 +320,7 @@ _simple(
 )
 _simple(
     "w10_daily_return",
-    lambda t: t.benchmark_price.select("index_code", "trade_date", F.coalesce(F.try_divide("close", F.lag("close").over(_w())) - 1, F.lit(0.0)).alias("daily_return")),
+    lambda t: t.benchmark_price.select("index_code", "trade_date", B.daily_return("close", _w()).alias("daily_return")),
     "SELECT index_code, trade_date, coalesce(close / lag(close) OVER (PARTITION BY index_code ORDER BY trade_date) - 1, 0) AS daily_return FROM benchmark_price",
 )
 _simple(
@@ -324,6 +333,16 @@ _simple(
 _SEL = dataset("selection_result").names
 _SEL_F = {*SCORES, "total_score"}
 _simple("o1_selection", lambda t: _r6(t.selection), _r6_sql(_SEL, "selection", _SEL_F))
+
+
+def _selected_by_tables(t):
+    """The selection from separate tables, as a user with stored datasets makes it."""
+    days = F.broadcast(t.signals.select(F.col("signal_date").alias("trade_date")))  # a row a month
+    on = lambda df: df.join(days, "trade_date", "left_semi")
+    return R.select_top(on(t.factors), on(t.eligible), on(t.risk), on(t.inputs), R.ScoringConfig(top_n=20))
+
+
+_simple("j7_selection_by_tables", lambda t: _r6(_selected_by_tables(t)), _r6_sql(_SEL, "selection", _SEL_F))
 _simple(
     "a5_selection_summary",
     lambda t: _r6(R.summarize_selection(t.selection, 5).drop("top_stocks")),
@@ -370,7 +389,7 @@ _simple(
     + f" UNION ALL SELECT 'no_master', count(*) FROM (SELECT DISTINCT stock_code FROM daily_price WHERE trade_date = '{DAY}') p ANTI JOIN stock_basic USING (stock_code) UNION ALL SELECT 'active', count(*) FROM {_ACTIVE} a",
 )
 _simple("a15_duplicate_keys", lambda t: Q.duplicate_keys(t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"]), "SELECT count(*) AS keys, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) x")
-_simple("a21_spans", lambda t: t.daily_price.agg(F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"), F.countDistinct("trade_date").alias("days"), F.countDistinct("stock_code").alias("codes")), "SELECT min(trade_date) AS first_day, max(trade_date) AS last_day, count(DISTINCT trade_date) AS days, count(DISTINCT stock_code) AS codes FROM daily_price")
+_simple("a21_spans", lambda t: C.spans(t.daily_price), "SELECT min(trade_date) AS first_day, max(trade_date) AS last_day, count(DISTINCT trade_date) AS days, count(DISTINCT stock_code) AS codes FROM daily_price")
 
 # merges
 _OLD = "trade_date < '1998-07-01'"
@@ -385,7 +404,7 @@ _simple("u2_keep_last", lambda t: M.upsert_keep_last(t.financial.select("stock_c
   FROM (SELECT stock_code, announce_date, roe, false AS new FROM financial WHERE announce_date < '1998-01-01' UNION ALL SELECT stock_code, announce_date, roe, true FROM financial WHERE announce_date >= '1997-06-01') x) y WHERE nth = 1 AND (new OR any_new = 0)""")
 _simple("u4_replace_scope", lambda t: M.replace_scope(t.adj_factor, _changed(t.adj_factor.where(_NEW)).where("stock_code <= '000060'"), (F.col("trade_date") >= "1998-01-01") & (F.col("trade_date") < "1999-01-01")), f"SELECT * FROM adj_factor WHERE NOT (trade_date >= '1998-01-01' AND trade_date < '1999-01-01') UNION ALL SELECT * FROM ({_CHANGED}) c WHERE stock_code <= '000060'")
 _simple("u6_key_difference", lambda t: M.key_difference(t.adj_factor, t.daily_basic, KEYS), "SELECT stock_code, trade_date, 'left' AS side FROM adj_factor ANTI JOIN daily_basic USING (stock_code, trade_date) UNION ALL SELECT stock_code, trade_date, 'right' FROM daily_basic ANTI JOIN adj_factor USING (stock_code, trade_date)")
-_simple("u9_projection", lambda t: K.project_by_date(t.financial, t.signals.select(F.col("signal_date").alias("trade_date"))).groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.max("announce_date").alias("last")), "SELECT signal_date AS trade_date, count(*) AS n, max(announce_date) AS last FROM signal JOIN financial ON announce_date <= signal_date AND report_period <= signal_date GROUP BY signal_date")
+_simple("u9_projection", lambda t: K.project_by_date(t.financial, t.signals.select(F.col("signal_date").alias("trade_date"))), "SELECT signal_date AS trade_date, financial.* FROM signal JOIN financial ON announce_date <= signal_date AND report_period <= signal_date")
 
 # schedule and backtest
 _simple("b1_schedule_monthly", lambda t: t.signals, "SELECT * FROM signal")
@@ -406,8 +425,8 @@ _simple("b2_execution", lambda t: _r6(_orders(t)), """SELECT stock_code, trade_d
   FROM (SELECT *, CASE WHEN reason = '' THEN adj_open * CASE WHEN side = 'buy' THEN 1.005e0 ELSE 0.995e0 END END AS fill FROM (SELECT *, CASE WHEN shares <= 0 THEN 'ZERO_SHARES' WHEN is_paused THEN 'PAUSED' WHEN side = 'buy' AND open >= limit_up THEN 'LIMIT_UP'
     WHEN side = 'sell' AND open <= limit_down THEN 'LIMIT_DOWN' ELSE '' END AS reason FROM (SELECT a.*, p.open, CASE WHEN substr(a.trade_date, 10, 1) < '5' THEN 'buy' ELSE 'sell' END AS side, a.volume - 20 AS shares FROM adjusted a JOIN daily_price p USING (stock_code, trade_date)) x) y) z""")
 _CONFIGS = [B.BacktestConfig("core", FROM, TO, mode, top_n=n) for mode in ("monthly", "quarterly") for n in (5, 20)]
-_simple("b4_backtest", lambda t: B.simulate(t.selection.persist(), B.backtest_prices(t.adjusted, t.daily_price), _CONFIGS))
-_simple("b5_backtest_metrics", lambda t: B.metrics(B.simulate(t.selection.persist(), B.backtest_prices(t.adjusted, t.daily_price), _CONFIGS[:1])))
+_simple("b4_backtest", lambda t: B.simulate(t.selection, B.backtest_prices(t.adjusted, t.daily_price), _CONFIGS))
+_simple("b5_backtest_metrics", lambda t: B.metrics(B.simulate(t.selection, B.backtest_prices(t.adjusted, t.daily_price), _CONFIGS[:1])))
 
 
 def _index_detail(t: Tables) -> DataFrame:

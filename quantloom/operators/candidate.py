@@ -34,9 +34,14 @@ def open_dates(calendar: DataFrame) -> DataFrame:
 
 def expected_axis(basic: DataFrame, dates: DataFrame) -> DataFrame:
     """Members x open dates, by list and delist dates: (stock_code, trade_date)."""
-    from .clean import member_on
+    from .clean import LISTED
 
-    return dates.select("trade_date").distinct().crossJoin(F.broadcast(basic.select("stock_code", "list_date", "delist_date").distinct())).where(member_on()).select(*KEYS)
+    days = [r[0] for r in dates.select("trade_date").distinct().orderBy("trade_date").limit(LISTED + 1).collect()]
+    if len(days) > LISTED:
+        raise ValueError(f"more than {LISTED} dates")
+    # each member goes to the dates of its membership: rows of the output and no others
+    each = F.filter(F.array(*[F.lit(d) for d in days]) if days else F.array().cast("array<string>"), lambda d: (F.col("list_date") <= d) & (F.col("delist_date").isNull() | (F.col("delist_date") > d)))
+    return basic.select("stock_code", "list_date", "delist_date").distinct().select("stock_code", F.explode(each).alias("trade_date")).distinct()
 
 
 def candidate_batch(daily: DataFrame, limits: DataFrame, factors: DataFrame, daily_basic: DataFrame, events: DataFrame, covered: DataFrame | None = None) -> DataFrame:
@@ -87,6 +92,22 @@ def pause_counts(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("pause_status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def spans(df: DataFrame) -> DataFrame:
+    """One row: first and last day, number of days and of codes."""
+    return df.agg(F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"), F.countDistinct("trade_date").alias("days"), F.countDistinct("stock_code").alias("codes"))
+
+
+def previous_close_change(quotes: DataFrame, key: str, day: str) -> DataFrame:
+    """(key, pct_chg) of a day against the latest earlier close of the same key; a key without one is an error."""
+    from ..functions.scalars import pct_change
+
+    upto = quotes.where(F.col("trade_date") <= day)
+    found = upto.groupBy(key).agg(F.max_by("close", F.when(F.col("trade_date") < day, F.col("trade_date"))).alias("__p"), F.max(F.when(F.col("trade_date") < day, F.lit(True))).alias("__has"), F.max(F.when(F.col("trade_date") == day, F.col("close"))).alias("__c"))
+    found = found.where("__c is not null")
+    previous = F.when(F.col("__has"), F.col("__p")).otherwise(F.raise_error(F.concat(F.lit("no earlier close: "), F.col(key))).cast("double"))
+    return found.select(key, pct_change("__c", previous).alias("pct_chg"))
+
+
 def limits_one_to_one(daily: DataFrame, limits: DataFrame) -> DataFrame:
     """Quotes with their limits; a repeated key on either side or a missing limit is an error."""
     for name, df in (("daily", daily), ("limits", limits)):

@@ -31,10 +31,22 @@ def stock_basic_as_of(basic: DataFrame, date: str) -> DataFrame:
 
 
 def membership_counts(basic: DataFrame, dates: DataFrame) -> DataFrame:
-    """(trade_date, reason, n): who is not a member on each date and why; no rows for zero counts."""
-    pairs = dates.select("trade_date").distinct().join(F.broadcast(basic), F.lit(True))  # dates x master rows that are read off ranges
-    reason = F.when(F.col("list_date") > F.col("trade_date"), "NOT_YET_LISTED").when(F.col("delist_date") <= F.col("trade_date"), "DELISTED")
-    return pairs.select("trade_date", reason.alias("reason")).where("reason is not null").groupBy("trade_date", "reason").agg(F.count(F.lit(1)).alias("n"))
+    """(trade_date, reason, n): who is not a member on each date and why; no rows for zero counts.
+
+    Not yet listed is what the total of list dates leaves; a stock delisted by a
+    date that is not also listed later counts as delisted.  Both are running
+    sums over the days on which something changes, not pairs of dates and stocks.
+    """
+    begun = basic.where("list_date is not null").select(F.col("list_date").alias("day"), F.lit("L").alias("k"))
+    # a stock that is delisted before it is listed is not yet listed until then, and delisted from then on
+    gone = basic.where("delist_date is not null").select(F.greatest("delist_date", F.coalesce("list_date", F.lit(""))).alias("day"), F.lit("D").alias("k"))
+    changes = begun.unionByName(gone).groupBy("day").agg(F.count_if(F.col("k") == "L").alias("l"), F.count_if(F.col("k") == "D").alias("d"))
+    days = dates.select(F.col("trade_date").alias("day")).distinct().withColumn("asked", F.lit(True))
+    w = Window.orderBy("day")  # one row a day
+    sums = changes.join(days, "day", "full_outer").select("day", "asked", F.sum(F.coalesce("l", F.lit(0))).over(w).alias("l"), F.sum(F.coalesce("d", F.lit(0))).over(w).alias("d"))
+    total = basic.agg(F.count("list_date").alias("all"))
+    each = F.explode(F.array(F.struct(F.lit("NOT_YET_LISTED").alias("reason"), (F.col("all") - F.col("l")).alias("n")), F.struct(F.lit("DELISTED").alias("reason"), F.col("d").alias("n"))))
+    return sums.where("asked").join(F.broadcast(total), F.lit(True)).select(F.col("day").alias("trade_date"), each.alias("x")).select("trade_date", "x.reason", "x.n").where("n > 0")
 
 
 def visible_financials(financial: DataFrame, date: str) -> DataFrame:
@@ -105,7 +117,30 @@ def carry_financial_state(previous: DataFrame, current: DataFrame) -> DataFrame:
     return previous.join(current.select(*keys), keys, "left_anti").unionByName(current)
 
 
+def carry_chain(frames: list[DataFrame]) -> DataFrame:
+    """``carry_financial_state`` over an ordered chain of windows, in one aggregation: of each key the row of the last window that has it."""
+    keys = ["stock_code", "report_period", "announce_date"]
+    rows = [df.withColumn("__at", F.lit(i)) for i, df in enumerate(frames)]
+    last = Window.partitionBy(*keys).orderBy(F.desc("__at"))
+    both = rows[0]
+    for df in rows[1:]:
+        both = both.unionByName(df)
+    return both.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__at")
+
+
+#: Dates and master rows up to which a list of either is written into a plan.
+LISTED = 10_000
+
+
 def project_by_date(financial: DataFrame, dates: DataFrame) -> DataFrame:
-    """Rows known on each date: (trade_date, disclosure); a range join on the dates asked for."""
-    d = dates.select("trade_date").distinct()
-    return d.join(financial, (F.col("announce_date") <= F.col("trade_date")) & (F.col("report_period") <= F.col("trade_date")))
+    """Rows known on each date: (trade_date, disclosure).
+
+    A disclosure goes to the dates after it, found by search in the sorted list
+    of dates (a few thousand at most), so the work is that of the output.
+    """
+    days = [r[0] for r in dates.select("trade_date").distinct().orderBy("trade_date").limit(LISTED + 1).collect()]
+    if len(days) > LISTED:
+        raise ValueError(f"more than {LISTED} dates")
+    known = F.greatest("announce_date", "report_period")
+    later = F.filter(F.array(*[F.lit(d) for d in days]) if days else F.array().cast("array<string>"), lambda d: d >= known)
+    return financial.where("announce_date is not null and report_period is not null").select(F.explode(later).alias("trade_date"), *financial.columns)

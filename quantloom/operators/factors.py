@@ -61,25 +61,66 @@ def industry(eligible: DataFrame, trends: DataFrame, benchmark: DataFrame) -> Da
     return lead.drop("benchmark_ret_60d", "benchmark_ret_120d")
 
 
-def percentile_3y(value: str, strict: bool = False) -> Column:
-    """Share of values not above the current one among the last three years and the current value itself.
+def ranks_in_window(days, values, span: int, slice_rows: int = 1 << 20):
+    """For each row (rows not after it, rows) among the known values of the ``span`` days before its day, and the first of those days.
 
-    Null for a null current value.  ``strict`` also wants 720 values before it
-    and a first row within 31 days of the window's start.
+    ``days`` are sorted; a row's own day is not among them.  Rows are compared
+    some at a time, so memory does not grow with the product of rows and window.
     """
-    w = Window.partitionBy("stock_code").orderBy(F.unix_date(F.to_date("trade_date"))).rangeBetween(-YEARS_3, -1)
-    history = F.collect_list(value).over(w)
-    share = (F.size(F.filter(history, lambda v: v <= F.col(value))) + 1) / (F.size(history) + 1)
-    known = F.col(value).isNotNull()
-    if strict:
-        first = F.min(F.to_date("trade_date")).over(w)
-        known = known & (F.size(history) >= STRICT_ROWS) & (first <= F.date_sub(F.to_date("trade_date"), YEARS_3 - STRICT_SLACK))
-    return F.when(known, share)
+    import numpy as np
+
+    n = len(days)
+    low, high = np.searchsorted(days, days - span, "left"), np.searchsorted(days, days, "left")
+    known = ~np.isnan(values)
+    before = np.r_[0, np.cumsum(known)]
+    total = before[high] - before[low]
+    below = np.zeros(n, np.int64)
+    a = 0
+    while a < n:
+        widest = max(1, int((high[a : a + 4096] - low[a : a + 4096]).max(initial=1)))
+        b = min(n, a + max(1, min(4096, slice_rows // widest)))
+        reach = int((high[a:b] - low[a:b]).max(initial=0))
+        if reach:
+            at = low[a:b, None] + np.arange(reach)[None, :]
+            inside = at < high[a:b, None]
+            with np.errstate(invalid="ignore"):
+                below[a:b] = ((values[np.minimum(at, n - 1)] <= values[a:b, None]) & inside).sum(1)
+        a = b
+    first = np.where(high > low, days[np.minimum(low, n - 1)], days + span)
+    return below, total, first
+
+
+def _percentiles(strict: bool):
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        order = np.argsort(table.column("trade_date").to_numpy(zero_copy_only=False).astype(str), kind="stable")
+        table = table.take(pa.array(order))
+        days = table.column("trade_date").to_numpy(zero_copy_only=False).astype("datetime64[D]").astype(np.int64)
+        out = [table.column(k) for k in KEYS]
+        for name in ("pe_ttm", "pb"):
+            values = table.column(name).to_numpy(zero_copy_only=False).astype(float)
+            below, total, first = ranks_in_window(days, values, YEARS_3)
+            hidden = np.isnan(values)
+            if strict:
+                hidden |= (total < STRICT_ROWS) | (first > days - (YEARS_3 - STRICT_SLACK))
+            out.append(pa.array((below + 1) / (total + 1), mask=hidden))
+        return pa.table(dict(zip([*KEYS, "valuation_pe_percentile_3y", "valuation_pb_percentile_3y"], out)))
+
+    return run
 
 
 def valuation_percentiles(snapshot: DataFrame, strict: bool = False) -> DataFrame:
-    columns = [percentile_3y(v, strict).alias(f"valuation_{p}_percentile_3y") for v, p in (("pe_ttm", "pe"), ("pb", "pb"))]
-    return snapshot.select(*KEYS, "pe_ttm", "pb").select(*KEYS, *columns)
+    """Share of values not above the current one among the last three years and the current value itself, by stock.
+
+    Null for a null current value.  ``strict`` also wants 720 values before it
+    and a first row within 31 days of the window's start.  A stock's history, a
+    row a trading day, is counted over once; no row carries a list of its window.
+    """
+    rows = snapshot.select(*KEYS, "pe_ttm", "pb")
+    schema = "stock_code string, trade_date string, valuation_pe_percentile_3y double, valuation_pb_percentile_3y double"
+    return rows.groupBy("stock_code").applyInArrow(_percentiles(strict), schema)
 
 
 def factor_scores(factors: DataFrame, neutral: float = 50.0) -> DataFrame:
@@ -100,15 +141,36 @@ def factor_scores(factors: DataFrame, neutral: float = 50.0) -> DataFrame:
     return factors.withColumns({name: F.coalesce(mean_of(columns), F.lit(neutral)) for name, columns in parts.items()})
 
 
+_NAMES = {
+    "quality_roe": "roe", "quality_gross_margin": "gross_margin", "quality_debt_ratio": "debt_ratio", "growth_revenue_yoy": "revenue_yoy", "growth_net_profit_yoy": "net_profit_yoy",
+    "valuation_pe_ttm": "pe_ttm", "valuation_pb": "pb", "valuation_ps_ttm": "ps_ttm", "liquidity_amount": "amount", "liquidity_turnover_rate": "turnover_rate",
+}
+
+
+def factor_frame(rows: DataFrame, trends: DataFrame, benchmark: DataFrame, strict: bool = False, neutral: float = 50.0) -> DataFrame:
+    """``factor_daily`` in one pass over classified snapshot rows (those of ``universe.classify``), which are read once.
+
+    The same rows carry eligibility, percentiles, trends and industry means, so
+    no table is joined with itself.  Returns the eligible rows with all factors
+    and scores, exclude_reasons and risk_flags.
+    """
+    share = valuation_percentiles(rows, strict)
+    base = rows.where("is_eligible").join(share, KEYS, "left").join(trends.drop("adj_close"), KEYS, "left")
+    group = Window.partitionBy("trade_date", "industry")
+    for n in (60, 120):
+        base = base.withColumn(f"industry_ret_{n}d", F.when(F.col("industry").isNotNull(), F.avg(f"trend_ret_{n}d").over(group)))
+    base = base.join(benchmark_returns(benchmark), "trade_date", "left")
+    for n in (60, 120):
+        base = base.withColumn(f"industry_strength_{n}d", F.col(f"industry_ret_{n}d") - F.col(f"benchmark_ret_{n}d"))
+    base = base.withColumns({k: F.col(v) for k, v in _NAMES.items()} | {"quality_cashflow_profit_ratio": F.lit(None).cast("double")})
+    return factor_scores(base, neutral).select(*KEYS, "industry", "market_type", *FACTORS, *SCORES, "exclude_reasons", "risk_flags")
+
+
 def factor_daily(factor_input: DataFrame, adjusted: DataFrame, snapshot: DataFrame, benchmark: DataFrame, strict: bool = False, neutral: float = 50.0) -> DataFrame:
     """All factors and scores of the eligible stocks; one pass of windows by stock, one small aggregation by industry."""
     trends = trend(adjusted)
     base = factor_input.join(valuation_percentiles(snapshot, strict), KEYS, "left").join(trends.drop("adj_close"), KEYS, "left")
     base = base.join(industry(factor_input, trends, benchmark), ["trade_date", "industry"], "left")
-    names = {
-        "quality_roe": "roe", "quality_gross_margin": "gross_margin", "quality_debt_ratio": "debt_ratio", "growth_revenue_yoy": "revenue_yoy", "growth_net_profit_yoy": "net_profit_yoy",
-        "valuation_pe_ttm": "pe_ttm", "valuation_pb": "pb", "valuation_ps_ttm": "ps_ttm", "liquidity_amount": "amount", "liquidity_turnover_rate": "turnover_rate",
-    }
     # net profit is not among the inputs, so the cash flow to profit ratio cannot be computed
-    base = base.withColumns({k: F.col(v) for k, v in names.items()} | {"quality_cashflow_profit_ratio": F.lit(None).cast("double")})
+    base = base.withColumns({k: F.col(v) for k, v in _NAMES.items()} | {"quality_cashflow_profit_ratio": F.lit(None).cast("double")})
     return factor_scores(base, neutral).select(*KEYS, "industry", "market_type", *FACTORS, *SCORES)

@@ -48,6 +48,8 @@ def rules(name: str, date: str | None = None, strict: bool = False) -> dict[str,
         }
         if strict:
             found["ohlc_order"] = _order("open", "high") | _order("close", "high") | _order("low", "open") | _order("low", "close")
+    elif name == "stock_basic":
+        found |= {"delisted_before_listed": F.col("delist_date") <= F.col("list_date")}
     elif name == "adj_factor":
         found["positive"] = positive("adj_factor")
     elif name == "financial":
@@ -89,6 +91,10 @@ def rules(name: str, date: str | None = None, strict: bool = False) -> dict[str,
     return found
 
 
+#: Columns that a dataset must not have.
+FORBIDDEN = {"factor_daily": ("total_score",)}
+
+
 def violations(df: DataFrame, name: str, date: str | None = None, strict: bool = False) -> DataFrame:
     """(rule, n) for every rule of a dataset, the number of rows and of surplus rows by key; one aggregation and one for keys."""
     checks = rules(name, date, strict)
@@ -132,6 +138,9 @@ def validate(df: DataFrame, name: str, date: str | None = None, strict: bool = F
     missing = [c for c in dataset(name).names if c not in df.columns]
     if missing:
         raise DataQualityError(f"{name}: missing columns: {', '.join(missing)}")
+    extra = [c for c in FORBIDDEN.get(name, ()) if c in df.columns]
+    if extra:
+        raise DataQualityError(f"{name}: columns that must not be there: {', '.join(extra)}")
     found = {r["rule"]: r["n"] for r in violations(df, name, date, strict).collect()}
     rows = found.pop("rows")
     broken = [f"{rule}: {n} rows" for rule, n in found.items() if n]
@@ -232,6 +241,23 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1").agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
 
 
+def duplicate_examples(df: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """The first keys that repeat, with their number of rows: a short list for a report."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").orderBy(*keys).limit(most)
+
+
+def index_coverage(benchmark: DataFrame, date: str, least: int = 121) -> DataFrame:
+    """Per required index: bars up to the date, the first, and whether they are too few for the longest window."""
+    asked = benchmark.sparkSession.createDataFrame([(c,) for c in INDEXES], "index_code string")
+    have = benchmark.where(F.col("trade_date") <= date).groupBy("index_code").agg(F.count(F.lit(1)).alias("index_rows"), F.min("trade_date").alias("first_day"))
+    return asked.join(have, "index_code", "left").withColumn("index_rows", F.coalesce("index_rows", F.lit(0))).withColumn("short", F.col("index_rows") < least)
+
+
+def history_minima(coverage: DataFrame) -> DataFrame:
+    """One row over ``history_coverage``: least numbers of rows, latest first days, stocks with short windows."""
+    return coverage.agg(F.min("price_rows").alias("least_price_rows"), F.min("valuation_rows").alias("least_valuation_rows"), F.max("first_price").alias("latest_first_price"), F.count_if("short_trend").alias("short_trend"), F.count_if("short_valuation").alias("short_valuation"))
+
+
 def index_change_faults(benchmark: DataFrame, rtol: float = 1e-6, atol: float = 1e-4) -> DataFrame:
     """n: rows whose pct_chg is not the change from pre_close."""
     want = (F.col("close") / F.col("pre_close") - 1) * 100

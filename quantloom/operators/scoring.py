@@ -42,10 +42,18 @@ def select_top(factors: DataFrame, eligible: DataFrame, risk: DataFrame, factor_
     if factor_input is not None:
         rows = rows.join(factor_input.select(*KEYS).distinct(), KEYS, "left_semi")
     scored = total_scores(rows, config)
+    return _ranked(scored, risk.select(*KEYS, "exclude_reasons", "risk_flags").dropDuplicates(KEYS), config)
+
+
+def select_classified(factors: DataFrame, config: ScoringConfig = ScoringConfig()) -> DataFrame:
+    """``select_top`` of rows that carry their own exclude_reasons and risk_flags (``factors.factor_frame``): no joins."""
+    return _ranked(total_scores(factors, config), None, config)
+
+
+def _ranked(scored: DataFrame, flags: DataFrame | None, config: ScoringConfig) -> DataFrame:
     order = Window.partitionBy("trade_date").orderBy(F.desc("total_score"), "stock_code")
     top = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= config.top_n)
-    flags = risk.select(*KEYS, "exclude_reasons", "risk_flags").dropDuplicates(KEYS)
-    full = top.join(flags, KEYS, "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("exclude_reasons", "risk_flags")})
+    full = (top if flags is None else top.join(flags, KEYS, "left")).withColumns({c: F.coalesce(c, F.lit("")) for c in ("exclude_reasons", "risk_flags")})
     full = full.withColumn("risk_level", risk_level()).withColumn("reason", reason()).withColumn("suggestion", suggestion())
     return full.select(*dataset("selection_result").names)
 

@@ -33,9 +33,14 @@ def exclude_reasons(limits: RiskLimits = RiskLimits()):
     )
 
 
-def risk_filter(snapshot: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
+def classify(snapshot: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
+    """The snapshot's rows with is_eligible, exclude_reasons and risk_flags: one frame that risk, universe and inputs are columns of."""
     found = snapshot.withColumn("exclude_reasons", exclude_reasons(limits)).withColumn("risk_flags", F.col("exclude_reasons"))
-    return found.withColumn("is_eligible", F.col("exclude_reasons") == "").select(*dataset("risk_filter").names)
+    return found.withColumn("is_eligible", F.col("exclude_reasons") == "")
+
+
+def risk_filter(snapshot: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
+    return classify(snapshot, limits).select(*dataset("risk_filter").names)
 
 
 def _eligible_keys(risk: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def fetch_all_pages(fetch: Callable[[int, int], list[dict]], keys: list[str], si
         last = page
         if len(page) < size:
             return rows, PagingProof(n + 1, len(rows), True)
-    return rows, PagingProof(most, len(rows), False)
+    raise ValueError(f"no short page within {most} pages: the set is not complete")
 
 
 def probe(provider: Provider, wanted: dict[str, list[str]], day: str) -> Iterator[dict]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,7 +52,7 @@ class Store:
 
     def write(self, df: DataFrame, name: str) -> None:
         """Replace exactly the partitions that ``df`` has rows for."""
-        rows = conform(df, name)
+        rows = conform(df, name).repartition("trade_date")  # one file a partition
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(self.path(name))
 
     def write_smoke(self, df: DataFrame, provider: str, name: str) -> str:
@@ -60,6 +64,16 @@ class Store:
         return path
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """A new folder that every node sees: below spark.checkpoint.dir, or a local one where one machine runs all of Spark."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quantloom-")
+    return f"{found.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
 def query_parquet(spark: SparkSession, path: str, sql: str | None = None, limit: int | None = None) -> DataFrame:
     """SQL over the files at ``path``, which the text calls ``dataset``; all rows without a text."""
     df = spark.read.parquet(path)
