@@ -12,7 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised step works on at once (one longer document is taken alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of a page in files between steps: below half of a memory region of the JVM's heap, so that pages need no regions of their own.
+PAGE_BYTES = 1 << 18
 _WRITTEN: list[str] = []
 
 
@@ -40,7 +42,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.page.size", PAGE_BYTES).parquet(path)
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path

@@ -77,7 +77,7 @@ def solve_exponent(tokens: list[int], max_repeat: float | None = None, target_en
 
 def token_count(text):
     """Words of a text: runs of characters other than 0x20 and 0x09-0x0D."""
-    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), "")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long")
 
 
 def _hash(seed: int):

@@ -45,6 +45,8 @@ from .wordhash import mix, shingle_sets
 
 #: Keys that a block of columns holds about.
 BLOCK_KEYS = 1 << 19
+#: Keys that one shuffled row holds at most.
+ROW_KEYS = 1 << 15
 #: Shingles of one row block of the product.
 BLOCK_SHINGLES = 1 << 20
 #: Classes up to which the list of those that need an exact test is broadcast (8 bytes each).
@@ -184,13 +186,14 @@ def _postings(width: int, percent: int, blocks: int):
             key, node = (np.concatenate([x[i] for x in held]) for i in range(2))
             names, first = np.unique(np.concatenate([x[2] for x in held]), return_index=True)
             bounds = np.concatenate([x[3] for x in held])[first]
-            rows = [(number % blocks, 2, names.tobytes(), bounds.tobytes(), b"")]
+            rows = [(number % blocks, 2, names[i : i + ROW_KEYS].tobytes(), bounds[i : i + ROW_KEYS].tobytes(), b"") for i in range(0, len(names), ROW_KEYS)]
             order = np.argsort(key, kind="stable")
             key, node = key[order], node[order]
             at, length = _runs(key)
             long = np.repeat(length > SHORT, length)
             if long.any():
-                rows.append((number % blocks, 1, node[long].tobytes(), _short_key(key[long], blocks).tobytes(), b""))
+                held_by, named = node[long], _short_key(key[long], blocks)
+                rows += [(number % blocks, 1, held_by[i : i + ROW_KEYS].tobytes(), named[i : i + ROW_KEYS].tobytes(), b"") for i in range(0, len(named), ROW_KEYS)]
                 marks = key[at[length > SHORT]]
                 key, node, mark = np.r_[key[~long], marks], np.r_[node[~long], np.zeros(len(marks), np.int64)], np.r_[np.zeros(int((~long).sum()), bool), np.ones(len(marks), bool)]
             else:

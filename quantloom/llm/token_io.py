@@ -37,7 +37,7 @@ COUNTS = (0, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK_IDS = 4096
 #: Bytes of text in one file image.
-IMAGE_BYTES = 1 << 20
+IMAGE_BYTES = 3 << 18
 
 
 def encode(ids, block: int = BLOCK_IDS):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from .common import worker_state
 
 #: Length of the tables that a worker keeps: a little more than a slice of texts has bytes.
-KEPT = (1 << 20) + (1 << 16)
+KEPT = (1 << 19) + (1 << 16)
 
 
 def mix(x):
