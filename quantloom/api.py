@@ -82,5 +82,17 @@ def task_logs(table: DataFrame, status: str | None = None, task_type: str | None
     return rows.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)
 
 
+def sql_rows(spark: SparkSession, table: str, equal: dict[str, str], newest: list[str], limit: int = 20, offset: int = 0) -> DataFrame:
+    """Rows of a table or view by SQL: equal columns, newest first, a page; the values are bound, not pasted."""
+    limit, offset = _page(limit, offset)
+    names = spark.table(table).columns
+    for c in (*equal, *newest):
+        if c not in names:
+            raise ApiError("INVALID_COLUMN", f"no such column: {c}")
+    where = " AND ".join(f"`{c}` = :v{i}" for i, c in enumerate(equal)) or "true"
+    order = ", ".join(f"`{c}` DESC" for c in newest)
+    return spark.sql(f"SELECT * FROM IDENTIFIER(:t) WHERE {where} ORDER BY {order} LIMIT {limit} OFFSET {offset}", args={"t": table} | {f"v{i}": v for i, v in enumerate(equal.values())})
+
+
 def health(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT 1 AS ok")

@@ -172,6 +172,8 @@ def _sql(final: str) -> str:
                     order.append(word)
 
     need(final)
+    if final.lstrip().startswith("WITH"):
+        final = f"SELECT * FROM ({final}) q"
     head = ",\n".join(f"{n} AS MATERIALIZED ({texts[n]})" for n in order)
     return f"WITH {head}\n{final}" if order else final
 
@@ -474,8 +476,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_backtest, catalog_more, catalog_reports  # noqa: F401  they register theirs when they are read
+
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_backtest, catalog_more, catalog_reports  # noqa: F401
+
     return {name: sql for name, (_, sql) in _QUERIES.items() if sql}

@@ -254,7 +254,7 @@ def interval_proof_faults(rows: DataFrame, start: str, end: str) -> DataFrame:
         "semantics": ~F.coalesce(F.col("source_semantics") == INTERVAL_SEMANTICS, F.lit(False)),
         "coverage": ~F.coalesce("coverage_complete", F.lit(False)),
         "coverage_dates": (F.col("coverage_start_date") > start) | (F.col("coverage_end_date") < end),
-        "coverage_code": ~F.array_contains(F.transform(F.split("coverage_codes", ","), F.trim), F.col("stock_code")),
+        "coverage_code": ~F.array_contains(F.transform(F.split("coverage_codes", ","), lambda x: F.trim(x)), F.col("stock_code")),
         "current_source": F.lower("source").rlike("current|latest") | F.upper("st_type").rlike("CURRENT"),
         "interval": F.col("end_date") <= F.col("start_date"),
     }

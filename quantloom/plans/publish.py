@@ -91,6 +91,14 @@ class Files:
             stream.close()
         return json.loads(text)
 
+    def move(self, key: str, target: str) -> None:
+        """Give a folder another name; the target must not exist."""
+        path, fs = self._at(key)
+        to, _ = self._at(target)
+        fs.mkdirs(to.getParent())
+        if not fs.rename(path, to):
+            raise OSError(f"{target}: the folder could not be moved")
+
     def delete(self, key: str) -> None:
         path, fs = self._at(key)
         fs.delete(path, True)
@@ -119,50 +127,46 @@ class Publisher:
     def _id(self, name: str, date: str, mode: str | None, inputs: dict, checksum: str) -> str:
         return stable_hash({"dataset": name, "date": date, "mode": mode, "inputs": inputs, "checksum": checksum})
 
-    def _stored(self, name: str, keys: dict[str, str]) -> DataFrame:
-        """Rows of generations, one for each date, with the dataset's columns."""
-        root = f"{self.files.root}/{self._base(name)}"
-        found = self.spark.read.option("basePath", root).option("recursiveFileLookup", "false").parquet(*[f"{self.files.root}/{k}" for k in keys.values()])
-        found = found.withColumn("trade_date", F.col("trade_date").cast("string")) if "trade_date" in found.columns else found
-        out = found.select(*dataset(name).names)
+    def _stored(self, name: str, keys: dict[str, str], base: str | None = None) -> DataFrame:
+        """Rows of generations, one for each date, with the dataset's columns; the date is read off the path."""
+        root = f"{self.files.root}/{base or self._base(name)}"
+        found = self.spark.read.option("basePath", root).parquet(*[f"{self.files.root}/{k}" for k in keys.values()])
+        out = found.withColumn("trade_date", F.date_format("trade_date", "yyyy-MM-dd") if dict(found.dtypes)["trade_date"] == "date" else F.col("trade_date").cast("string")).select(*dataset(name).names)
         check_physical(out, name)
         return out
 
     def publish_dates(self, df: DataFrame, name: str, dates: list[str], inputs: dict, mode: str | None = None, create_only: bool = True) -> dict[str, dict]:
-        """Publish every date of ``dates``: one job for the checksums, one that writes what is not stored yet, one that reads it back.
+        """Publish every date of ``dates``: one job writes them beside, one reads them back for the checksums that name the generations.
 
-        Then the commits, one small file for each date.  A stored generation
+        Then each folder is moved to its place, and the commits follow, one
+        small file for each date.  A stored generation
         that is not what its name says is written again unless a commit points
         to it.  Returns the commits that count, by date.
         """
         rows = conform(df, name).where(F.col("trade_date").isin(dates))
-        empty = fingerprint(rows.limit(0))
-        sums = {d: empty for d in dates} | fingerprints(rows, "trade_date")
-        ids = {d: self._id(name, d, mode, inputs, sums[d][1]) for d in dates}
-        keys = {d: self._generation(name, d, ids[d], mode) for d in dates}
-        filled = {d: k for d, k in keys.items() if sums[d][0]}
-        there = {d: k for d, k in filled.items() if self.files.exists(k)}
-        known = fingerprints(self._stored(name, there), "trade_date") if there else {}
-        stale = [d for d in there if known.get(d) != sums[d]]
-        for d in stale:
-            commit = self.commit_of(name, d, mode)
-            if commit and commit["key"] == keys[d]:
-                raise Conflict(f"{name} {d}: the stored generation differs from what was written")
-            self.files.delete(keys[d])
-        missing = [d for d in filled if d not in there or d in stale]
-        if missing:
-            named = rows.where(F.col("trade_date").isin(missing))
-            parts = ["trade_date", *(["rebalance_mode"] if mode else []), "generation"]
-            label = F.create_map(*[F.lit(x) for d in missing for x in (d, ids[d])])[F.col("trade_date")]
-            named = named.withColumn("generation", label)
-            if mode:
-                named = named.withColumn("rebalance_mode", F.lit(mode))
-            # a date goes to few tasks, and so to few files
-            named.repartition(*parts).write.mode("append").partitionBy(*parts).parquet(f"{self.files.root}/{self._base(name)}")
-            back = fingerprints(self._stored(name, {d: keys[d] for d in missing}), "trade_date")
-            wrong = [d for d in missing if back.get(d) != sums[d]]
-            if wrong:
-                raise Conflict(f"{name} {wrong[0]}: the stored generation differs from what was written")
+        # what is checked and kept are the very rows that were written: a frame worked out twice may differ in a last digit
+        stage = f"staging/{uuid.uuid4().hex}"
+        rows.repartition("trade_date").write.partitionBy("trade_date").parquet(f"{self.files.root}/{stage}")
+        try:
+            staged = {n.partition("=")[2]: f"{stage}/{n}" for n in self.files.names(stage) if n.startswith("trade_date=")}
+            empty = fingerprint(self.spark.createDataFrame([], rows.schema))
+            sums = {d: empty for d in dates} | (fingerprints(self._stored(name, staged, stage), "trade_date") if staged else {})
+            ids = {d: self._id(name, d, mode, inputs, sums[d][1]) for d in dates}
+            keys = {d: self._generation(name, d, ids[d], mode) for d in dates}
+            there = {d: keys[d] for d in staged if self.files.exists(keys[d])}
+            known = fingerprints(self._stored(name, there), "trade_date") if there else {}
+            for d in there:
+                if known.get(d) == sums[d]:
+                    continue
+                commit = self.commit_of(name, d, mode)
+                if commit and commit["key"] == keys[d]:
+                    raise Conflict(f"{name} {d}: the stored generation differs from what was written")
+                self.files.delete(keys[d])
+            moved = [d for d in staged if not self.files.exists(keys[d])]
+            for d in moved:
+                self.files.move(staged[d], keys[d])
+        finally:
+            self.files.delete(stage)
         return {d: self._mark(name, d, mode, {"dataset": name, "trade_date": d, "mode": mode, "generation": ids[d], "key": keys[d], "rows": sums[d][0], "checksum": sums[d][1], "inputs": inputs}, create_only) for d in dates}
 
     def _mark(self, name: str, date: str, mode: str | None, commit: dict, create_only: bool) -> dict:

@@ -121,6 +121,8 @@ def probe(provider: Provider, wanted: dict[str, list[str]], day: str) -> Iterato
         try:
             raw = provider.fetch(name, day)
             have = {FIELD_MAP.get(k, k) for r in raw for k in r} | {k for r in raw for k in r}
-            yield {"dataset": name, "reachable": True, "rows": len(raw), "missing": [f for f in fields if f not in have]}
+            missing = [f for f in fields if f not in have]
+            # rows of a provider are candidates at best; whether they may be promoted is for audits to say
+            yield {"dataset": name, "reachable": True, "rows": len(raw), "missing": missing, "level": "DQ1" if raw else "DQ0"}
         except Exception as e:
-            yield {"dataset": name, "reachable": False, "rows": 0, "missing": list(fields), "error": type(e).__name__}
+            yield {"dataset": name, "reachable": False, "rows": 0, "missing": list(fields), "level": "DQ0", "error": type(e).__name__}
