@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import api
 from . import catalog_queries as Q
-from .catalog_queries import _SQL, DAY, FROM, KEYS, TO, Tables, _r6, _r6_sql, _simple
+from .catalog_queries import DAY, FROM, KEYS, TO, Tables, _r6, _r6_sql, _simple
 from .functions import driver as D
 from .functions import scalars as S
 from .operators import backtest as B
@@ -26,7 +26,7 @@ from .operators import scoring
 from .plans import backfill, publish, runners
 from .plans import backtests as P
 from .schemas import FACTORS, SCORES, dataset
-from .sources import adapter, mock, providers
+from .sources import mock, providers
 from .sources.storage import Store, query_parquet, scratch_root
 
 

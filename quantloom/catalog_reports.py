@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 
 from . import catalog_queries as Q
 from .catalog_more import _both, _long, _values
-from .catalog_queries import _AXIS, _SQL, _WEIGHTS, DAY, KEYS, Tables, _simple
+from .catalog_queries import _WEIGHTS, DAY, KEYS, Tables, _simple
 from .functions import contracts as T
 from .functions import driver as D
 from .functions import scalars as S
 from .operators import candidate as C
-from .operators import clean as K
 from .operators import merge as M
 from .operators import quality
 from .operators import readiness as R
-from .operators import scoring
 from .plans import runners
-from .schemas import FACTORS, SCORES, dataset
+from .schemas import FACTORS
 
 _BAD_DATE = lambda c: f"({c} IS NOT NULL AND (NOT regexp_matches({c}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') OR try_cast({c} AS DATE) IS NULL))"
 _CODE = "NOT coalesce(regexp_matches(stock_code, '^[0-9]{6}\\.(SZ|SH|BJ)$'), false)"

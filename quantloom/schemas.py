@@ -96,15 +96,15 @@ def dataset(name: str) -> Dataset:
     return REGISTRY[name]
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """The dataset's columns in order and type; a missing column is an error, a further one is dropped."""
+def conform(df: DataFrame, name: str, *more: str) -> DataFrame:
+    """The dataset's columns in order and type, and those of ``more`` as text; a missing column is an error, a further one is dropped."""
     from pyspark.sql import functions as F
 
     spec = dataset(name)
-    missing = [c for c in spec.names if c not in df.columns]
+    missing = [c for c in (*spec.names, *more) if c not in df.columns]
     if missing:
         raise ValueError(f"{name}: missing columns: {', '.join(missing)}")
-    return df.select(*[F.col(c).cast(_TYPES[k]).alias(c) for c, k in spec.columns])
+    return df.select(*[F.col(c).cast(_TYPES[k]).alias(c) for c, k in (*spec.columns, *((c, "s") for c in more))])
 
 
 def check_physical(df: DataFrame, name: str) -> None:

@@ -28,8 +28,12 @@ class Store:
         return f"{self.root}/{dataset(name).zone}/{name}"
 
     def _scan(self, name: str) -> DataFrame:
+        """All partitions; a dataset without a date of its own gets the partition's as trade_date."""
+        schema = dataset(name).schema
+        if "trade_date" not in dataset(name).names:
+            schema = schema.add("trade_date", "string")
         try:
-            return self.spark.read.schema(dataset(name).schema).parquet(self.path(name))
+            return self.spark.read.schema(schema).parquet(self.path(name))
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
                 raise FileNotFoundError(f"{name}: no partition") from e
@@ -52,7 +56,10 @@ class Store:
 
     def write(self, df: DataFrame, name: str) -> None:
         """Replace exactly the partitions that ``df`` has rows for."""
-        rows = conform(df, name).repartition("trade_date")  # one file a partition
+        rows = conform(df, name)
+        if "trade_date" not in rows.columns:
+            rows = conform(df, name, "trade_date")
+        rows = rows.repartition("trade_date")  # one file a partition
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(self.path(name))
 
     def write_smoke(self, df: DataFrame, provider: str, name: str) -> str:
