@@ -49,8 +49,10 @@ BLOCK_KEYS = 1 << 19
 ROW_KEYS = 1 << 15
 #: Shingles of one row block of the product.
 BLOCK_SHINGLES = 1 << 20
-#: Classes up to which the list of those that need an exact test is broadcast (8 bytes each).
-BROADCAST_CLASSES = 500_000
+#: Bytes up to which the list of classes that need an exact test is broadcast, with the names of the blocks that each goes to.
+BROADCAST_BYTES = 16 << 20
+#: A set that more than this part of all rows have is hot: there are at most as many hot sets as its inverse.
+HOT = 1 / 1000
 
 
 #: Sets up to which a key counts towards every pair of them.
@@ -215,6 +217,8 @@ def _postings(width: int, percent: int, blocks: int):
             for a, b in slices(offs):
                 sets = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], width)
                 _, s1, _ = _set_hashes(sets)
+                if len(seen) > 1 << 20:  # it saves work only: a set that comes again is found on the other side
+                    seen.clear()
                 for i, x in enumerate(s1.tolist()):
                     if x in seen:
                         sets[i] = sets[i][:0]
@@ -421,7 +425,8 @@ def _links(docs: DataFrame, members: DataFrame, width: int, percent: int):
         F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.concat_ws(":", F.col("family"), F.least(F.col("c"), o), F.greatest(F.col("c"), o)))
     )
     jobs = jobs.select("cid", "rep", "s1", "s2", "family", pairs.alias("bins"))
-    if members.count() <= BROADCAST_CLASSES:
+    weight = jobs.agg(F.sum(F.lit(64) + F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)).alias("w")).first()["w"] or 0
+    if weight <= BROADCAST_BYTES:
         jobs = F.broadcast(jobs)
     text = docs.select(F.col("doc_id").alias("rep"), "text")
     sets = text.join(jobs, "rep").select("cid", "family", "bins", "s1", "s2", "text").mapInArrow(frugal(_family_sets(width)), "cid long, family long, bins array<string>, items binary")
@@ -441,7 +446,7 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
     tag = F.col(tag_col).cast("long") if tag_col else F.lit(None).cast("long")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tag.alias("tag"))
     signed = materialize(docs.mapInArrow(frugal(_signatures(width)), "doc_id long, tag long, n long, s1 long, s2 long"), "signatures")
-    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     classes = classes.where("rep is not null")
     classes = materialize(classes.withColumn("cid", F.col("rep")), "classes")
     if classes.groupBy("rep").count().where("count > 1").limit(1).count():  # an id with several texts: further classes stand under negative numbers
@@ -450,12 +455,17 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
     links, split = _links(docs, _families(docs, classes, width, percent), width, percent)
     rows = signed.select("doc_id", "tag", "n", "s1", "s2")
     if links is None:
-        labelled = classes.select("s1", "s2", F.col("rep").alias("least"), F.col("cid").alias("group"))
+        labelled = classes.select("s1", "s2", "rows", F.col("rep").alias("least"), F.col("cid").alias("group"))
     else:
         comp = connected_components(links) if split else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        labels = classes.select("s1", "s2", "cid", "rep").join(comp, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
-        labels = materialize(labels.select("s1", "s2", "rep", "component"), "labels")
-        labelled = labels.join(labels.groupBy("component").agg(F.min("rep").alias("least")), "component").select("s1", "s2", "least", F.col("component").alias("group"))
-    joined = rows.join(labelled, ["s1", "s2"], "left")
+        labels = classes.select("s1", "s2", "rows", "cid", "rep").join(comp, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
+        labels = materialize(labels.select("s1", "s2", "rows", "rep", "component"), "labels")
+        labelled = labels.join(labels.groupBy("component").agg(F.min("rep").alias("least")), "component").select("s1", "s2", "rows", "least", F.col("component").alias("group"))
+    # copies of one text stand under one key: sets that very many rows have are looked up, so that no key gathers them
+    total = classes.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    hot = F.broadcast(labelled.where(F.col("rows") > max(1000, total * HOT)).select("s1", "s2", F.col("least").alias("l"), F.col("group").alias("g"), F.lit(True).alias("hot")))
+    looked = rows.join(hot, ["s1", "s2"], "left")
+    cold = looked.where("hot is null").drop("l", "g", "hot").join(labelled.drop("rows"), ["s1", "s2"], "left")
+    joined = cold.unionByName(looked.where("hot").select(*rows.columns, F.col("l").alias("least"), F.col("g").alias("group")))
     out = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")]
     return joined.select(*out, *(["tag", F.when(F.col("n") > 0, F.col("group")).alias("group")] if tag_col else []))
