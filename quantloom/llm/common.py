@@ -127,6 +127,21 @@ def slices(offsets, limit: int = SLICE_BYTES):
         a = b
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library has no such call
+        pass
+
+
 def frugal(run):
     """A batch function that gives freed memory back to the system when its task ends.
 
@@ -134,19 +149,9 @@ def frugal(run):
     """
 
     def wrapped(batches):
-        import ctypes
-        import gc
-
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library has no such call
-                pass
+            give_back()
 
     return wrapped
