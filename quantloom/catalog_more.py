@@ -475,3 +475,97 @@ def _rule_error(t):
 
 _simple("b8_execution_rule", _rule_error, "SELECT 'refused' AS outcome")
 
+
+
+# --- connectors over recorded answers ---------------------------------------------------------
+
+
+class _Recorded:
+    """A package's client that answers from the tables: index bars, stock bars, endpoints."""
+
+    error_code, error_msg = "0", ""
+
+    def __init__(self, t: Tables):
+        self.bars = [r.asDict() for r in t.benchmark_price.where(F.col("trade_date") <= DAY).select("index_code", F.col("trade_date").alias("date"), "open", "high", "low", "close").collect()]  # what a provider would send
+        self.day = [r.asDict() for r in t.daily_price.where(F.col("trade_date") == DAY).orderBy("stock_code").collect()]
+        self.calls: list[str] = []
+
+    def stock_zh_index_daily(self, symbol):
+        return [r for r in self.bars if r["index_code"][:6] == symbol[2:]]
+
+    def stock_zh_a_hist(self, symbol, **_):
+        r = self.day[0]
+        return [{"日期": r["trade_date"], "开盘": r["open"], "最高": r["high"], "最低": r["low"], "收盘": r["close"], "成交量": r["volume"], "成交额": r["amount"], "涨跌幅": r["pct_chg"]}]
+
+    def login(self):
+        self.calls.append("login")
+        return self
+
+    def logout(self):
+        self.calls.append("logout")
+
+    def query_history_k_data_plus(self, symbol, fields, **_):
+        self.fields, r = fields.split(","), self.day[0]
+        self.left = [[r["trade_date"], symbol, *(str(r[c]) for c in ("open", "high", "low", "close", "pre_close", "volume", "amount", "pct_chg"))]]
+        return self
+
+    def next(self):
+        return bool(self.left)
+
+    def get_row_data(self):
+        return self.left.pop()
+
+    def adj_factor(self, **_):
+        self.calls.append("adj_factor")
+        if len(self.calls) < 3:
+            raise OSError("later")
+        return [{"ts_code": r["stock_code"], "trade_date": r["trade_date"].replace("-", ""), "adj_factor": 1.5} for r in self.day]
+
+    def suspend_d(self, offset, limit, **_):
+        return [{"ts_code": r["stock_code"], "trade_date": DAY.replace("-", "")} for r in self.day][offset : offset + limit]
+
+    def daily_basic(self, **_):
+        raise RuntimeError("抱歉，您没有访问该接口的权限")
+
+
+def _akshare(t):
+    from .sources.connectors import SMOKE, AkshareConnector
+
+    source = AkshareConnector(_Recorded(t))
+    rows = [(r["index_code"], r["trade_date"], r["close"], r["pct_chg"]) for r in source.fetch("benchmark_price", DAY)]
+    rows += [(r["source_symbol"], r["trade_date"], r["close"], r["pct_chg"]) for r in source.fetch(SMOKE, DAY)]
+    return _values(t, rows, "code string, trade_date string, close double, pct_chg double")
+
+
+def _baostock(t):
+    from .sources.connectors import SMOKE, BaostockConnector
+
+    client = _Recorded(t)
+    rows = BaostockConnector(client).fetch(SMOKE, DAY)
+    return _values(t, [(r["stock_code"], r["open"], r["volume"], r["pct_chg"], ",".join(client.calls)) for r in rows], "code string, open double, volume double, pct_chg double, calls string")
+
+
+def _tushare(t):
+    from .sources.connectors import TushareConnector
+
+    client = _Recorded(t)
+    source = TushareConnector(client, sleep=lambda s: None)
+    factors = providers.map_frame(t.spark, source.fetch("adj_factor", DAY), "adj_factor")
+    events, proof = source.events(DAY, size=3)
+    refused = 0
+    for name in ("daily_basic", "financial"):
+        try:
+            source.fetch(name, DAY)
+        except providers.CapabilityError:
+            refused += 1
+    return factors.withColumns({"events": F.lit(len(events)), "complete": F.lit(proof.complete), "refused": F.lit(refused), "tries": F.lit(len(client.calls))})
+
+
+_FIRST = f"(SELECT * FROM daily_price WHERE trade_date = '{DAY}' ORDER BY stock_code LIMIT 1)"
+_simple(
+    "s12_akshare",
+    _akshare,
+    f"SELECT index_code AS code, '{DAY}' AS trade_date, c AS close, (c / p - 1) * 100 AS pct_chg FROM (SELECT index_code, arg_max(close, trade_date) AS c, arg_max(close, trade_date) FILTER (trade_date < '{DAY}') AS p FROM benchmark_price WHERE trade_date <= '{DAY}' GROUP BY index_code) x UNION ALL SELECT '000001', trade_date, close, pct_chg FROM {_FIRST} y",
+)
+_simple("s13_baostock", _baostock, f"SELECT '000001.SZ' AS code, open, volume, pct_chg, 'login,logout' AS calls FROM {_FIRST} x")
+_simple("s14_tushare", _tushare, f"SELECT stock_code, trade_date, 1.5e0 AS adj_factor, CAST(count(*) OVER () AS INTEGER) AS events, true AS complete, CAST(2 AS INTEGER) AS refused, CAST(3 AS INTEGER) AS tries FROM daily_price WHERE trade_date = '{DAY}'")
