@@ -416,7 +416,7 @@ def _links(docs: DataFrame, members: DataFrame, width: int, percent: int):
     stats = weights.agg(F.sum("w").alias("w"), F.max("w").alias("most"), F.count(F.lit(1)).alias("f")).first()
     if not stats["f"]:
         return None, False
-    bins = max(1, -(-int(stats["w"]) // (BLOCK_SHINGLES // 2)))
+    bins = max(1, -(-int(stats["w"]) // (BLOCK_SHINGLES // 16)))
     split = int(stats["most"]) > BLOCK_SHINGLES
     k = F.ceil(F.col("w") / (BLOCK_SHINGLES // 2)).cast("int")
     jobs = members.join(weights, "family").withColumn("k", F.when(F.col("w") > BLOCK_SHINGLES, k).otherwise(1))
