@@ -37,7 +37,9 @@ COUNTS = (0, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK_IDS = 4096
 #: Bytes of text in one file image.
-IMAGE_BYTES = 3 << 18
+IMAGE_BYTES = 2 << 20
+#: Pieces of text whose ids a worker keeps.  Fewer, and smaller images, take less memory and more time.
+CACHE_PIECES = 300_000
 
 
 def encode(ids, block: int = BLOCK_IDS):
@@ -265,7 +267,7 @@ def _whole_texts(tokenizer, data, offsets):
     return np.fromiter((x for ids in found for x in ids), np.uint32, int(n.sum())), n
 
 
-def make_tokenizer(path: str, cache_limit: int = 160_000, literal: bool = True):
+def make_tokenizer(path: str, cache_limit: int = CACHE_PIECES, literal: bool = True):
     """A function from a buffer of texts (bytes, offsets) to their ids (uint32) and the number of ids of each text.
 
     Texts are cut at places over which a byte-level tokenizer never joins text,
@@ -387,17 +389,17 @@ def make_tokenizer(path: str, cache_limit: int = 160_000, literal: bool = True):
     return run
 
 
-def _encode_rows(path: str, end_id: int):
+def _encode_rows(path: str, end_id: int, image_bytes: int, cache_pieces: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokenize = make_tokenizer(path, literal=False)
+        tokenize = make_tokenizer(path, cache_pieces, literal=False)
         part, number, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
-            for a, b in slices(offs, IMAGE_BYTES):
+            for a, b in slices(offs, image_bytes):
                 rows = batch.slice(a, b - a)
                 ids, lengths = tokenize(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 flat = np.insert(ids, np.cumsum(lengths), end_id)
@@ -420,14 +422,14 @@ def _encode_rows(path: str, end_id: int):
 IMAGE_SCHEMA = "part int, number int, before long, n_ids long, doc_ids array<bigint>, image binary"
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, image_bytes: int = IMAGE_BYTES, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Write the ids of every text, in ascending doc_id order, as file images to the folder ``out``; returns the images."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # the text's hash as a second key: an id that repeats very often is dealt to several tasks
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     ordered = keyed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    ordered.mapInArrow(frugal(_encode_rows(tokenizer_path, end_id)), IMAGE_SCHEMA).write.option("compression", "none").parquet(out)
+    ordered.mapInArrow(frugal(_encode_rows(tokenizer_path, end_id, image_bytes, cache_pieces)), IMAGE_SCHEMA).write.option("compression", "none").parquet(out)
     return spark.read.schema(IMAGE_SCHEMA).parquet(out)
 
 
@@ -463,10 +465,10 @@ def read_documents(images: DataFrame) -> DataFrame:
     return joined.select("doc_ids", (F.col("base") + F.col("before")).alias("start"), "image").mapInArrow(frugal(_decode_rows), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def tokenize_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 0, image_bytes: int = IMAGE_BYTES, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Encode to the shared folder and read back."""
     spark: SparkSession = docs.sparkSession
-    return read_documents(encode_documents(docs, tokenizer_path, shared_path(spark, "tokens"), end_id))
+    return read_documents(encode_documents(docs, tokenizer_path, shared_path(spark, "tokens"), end_id, image_bytes, cache_pieces))
 
 
 def export_files(images: DataFrame, folder: str) -> list[str]:

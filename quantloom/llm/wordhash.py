@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from .common import worker_state
 
-#: Length of the tables that a worker keeps: a little more than a slice of texts has bytes.
-KEPT = (1 << 19) + (1 << 16)
+#: Length of the tables that a worker keeps: a little more than a slice of texts, or a small token file, has bytes.
+KEPT = (3 << 18) + (1 << 16)
 
 
 def mix(x):
