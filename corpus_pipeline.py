@@ -78,7 +78,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokenize_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # other stages share the workers' memory: smaller files and fewer kept pieces than the operator's own
+    return tokenize_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"), image_bytes=3 << 18, cache_pieces=160_000)
 
 
 STAGES = [
