@@ -212,8 +212,8 @@ def _summaries(t):
 _simple("k9_summary_upsert", _summaries, f"SELECT trade_date, rebalance_mode, CASE WHEN trade_date LIKE '1998%' THEN stock_count + 100 ELSE stock_count END AS stock_count FROM ({Q._SNAP}) x")
 _simple(
     "k13_newest_by_key",
-    lambda t: publish.newest_by_key(_table(t, "orders").select("o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey"), ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]),
-    "SELECT o_custkey, o_orderpriority, o_orderdate, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth FROM orders) x WHERE nth = 1",
+    lambda t: publish.newest_by_key(_table(t, "orders").select("o_custkey", "o_orderpriority", F.to_date("o_orderdate").alias("o_orderdate"), "o_orderkey"), ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]),
+    "SELECT o_custkey, o_orderpriority, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS nth FROM orders) x WHERE nth = 1",
 )
 
 
@@ -486,8 +486,10 @@ class _Recorded:
     error_code, error_msg = "0", ""
 
     def __init__(self, t: Tables):
-        self.bars = [r.asDict() for r in t.benchmark_price.where(F.col("trade_date") <= DAY).select("index_code", F.col("trade_date").alias("date"), "open", "high", "low", "close").collect()]  # what a provider would send
-        self.day = [r.asDict() for r in t.daily_price.where(F.col("trade_date") == DAY).orderBy("stock_code").collect()]
+        #: The last day up to DAY on which all indexes have a bar.
+        self.on = t.benchmark_price.where(F.col("trade_date") <= DAY).agg(F.max("trade_date")).first()[0]
+        self.bars = [r.asDict() for r in t.benchmark_price.where(F.col("trade_date") <= self.on).select("index_code", F.col("trade_date").alias("date"), "open", "high", "low", "close").collect()]  # what a provider would send
+        self.day = [r.asDict() for r in t.daily_price.where(F.col("trade_date") == self.on).orderBy("stock_code").collect()]
         self.calls: list[str] = []
 
     def stock_zh_index_daily(self, symbol):
@@ -522,7 +524,7 @@ class _Recorded:
         return [{"ts_code": r["stock_code"], "trade_date": r["trade_date"].replace("-", ""), "adj_factor": 1.5} for r in self.day]
 
     def suspend_d(self, offset, limit, **_):
-        return [{"ts_code": r["stock_code"], "trade_date": DAY.replace("-", "")} for r in self.day][offset : offset + limit]
+        return [{"ts_code": r["stock_code"], "trade_date": self.on.replace("-", "")} for r in self.day][offset : offset + limit]
 
     def daily_basic(self, **_):
         raise RuntimeError("抱歉，您没有访问该接口的权限")
@@ -531,9 +533,10 @@ class _Recorded:
 def _akshare(t):
     from .sources.connectors import SMOKE, AkshareConnector
 
-    source = AkshareConnector(_Recorded(t))
-    rows = [(r["index_code"], r["trade_date"], r["close"], r["pct_chg"]) for r in source.fetch("benchmark_price", DAY)]
-    rows += [(r["source_symbol"], r["trade_date"], r["close"], r["pct_chg"]) for r in source.fetch(SMOKE, DAY)]
+    client = _Recorded(t)
+    source = AkshareConnector(client)
+    rows = [(r["index_code"], r["trade_date"], r["close"], r["pct_chg"]) for r in source.fetch("benchmark_price", client.on)]
+    rows += [(r["source_symbol"], r["trade_date"], r["close"], r["pct_chg"]) for r in source.fetch(SMOKE, client.on)]
     return _values(t, rows, "code string, trade_date string, close double, pct_chg double")
 
 
@@ -541,7 +544,7 @@ def _baostock(t):
     from .sources.connectors import SMOKE, BaostockConnector
 
     client = _Recorded(t)
-    rows = BaostockConnector(client).fetch(SMOKE, DAY)
+    rows = BaostockConnector(client).fetch(SMOKE, client.on)
     return _values(t, [(r["stock_code"], r["open"], r["volume"], r["pct_chg"], ",".join(client.calls)) for r in rows], "code string, open double, volume double, pct_chg double, calls string")
 
 
@@ -550,22 +553,23 @@ def _tushare(t):
 
     client = _Recorded(t)
     source = TushareConnector(client, sleep=lambda s: None)
-    factors = providers.map_frame(t.spark, source.fetch("adj_factor", DAY), "adj_factor")
-    events, proof = source.events(DAY, size=3)
+    factors = providers.map_frame(t.spark, source.fetch("adj_factor", client.on), "adj_factor")
+    events, proof = source.events(client.on, size=3)
     refused = 0
     for name in ("daily_basic", "financial"):
         try:
-            source.fetch(name, DAY)
+            source.fetch(name, client.on)
         except providers.CapabilityError:
             refused += 1
     return factors.withColumns({"events": F.lit(len(events)), "complete": F.lit(proof.complete), "refused": F.lit(refused), "tries": F.lit(len(client.calls))})
 
 
-_FIRST = f"(SELECT * FROM daily_price WHERE trade_date = '{DAY}' ORDER BY stock_code LIMIT 1)"
+_LAST = f"(SELECT max(trade_date) FROM benchmark_price WHERE trade_date <= '{DAY}')"
+_FIRST = f"(SELECT * FROM daily_price WHERE trade_date = {_LAST} ORDER BY stock_code LIMIT 1)"
 _simple(
     "s12_akshare",
     _akshare,
-    f"SELECT index_code AS code, '{DAY}' AS trade_date, c AS close, (c / p - 1) * 100 AS pct_chg FROM (SELECT index_code, arg_max(close, trade_date) AS c, arg_max(close, trade_date) FILTER (trade_date < '{DAY}') AS p FROM benchmark_price WHERE trade_date <= '{DAY}' GROUP BY index_code) x UNION ALL SELECT '000001', trade_date, close, pct_chg FROM {_FIRST} y",
+    f"SELECT index_code AS code, d AS trade_date, c AS close, (c / p - 1) * 100 AS pct_chg FROM (SELECT index_code, max(trade_date) AS d, arg_max(close, trade_date) AS c, arg_max(close, trade_date) FILTER (trade_date < {_LAST}) AS p FROM benchmark_price WHERE trade_date <= '{DAY}' GROUP BY index_code) x UNION ALL SELECT '000001', trade_date, close, pct_chg FROM {_FIRST} y",
 )
 _simple("s13_baostock", _baostock, f"SELECT '000001.SZ' AS code, open, volume, pct_chg, 'login,logout' AS calls FROM {_FIRST} x")
-_simple("s14_tushare", _tushare, f"SELECT stock_code, trade_date, 1.5e0 AS adj_factor, CAST(count(*) OVER () AS INTEGER) AS events, true AS complete, CAST(2 AS INTEGER) AS refused, CAST(3 AS INTEGER) AS tries FROM daily_price WHERE trade_date = '{DAY}'")
+_simple("s14_tushare", _tushare, f"SELECT stock_code, trade_date, 1.5e0 AS adj_factor, CAST(count(*) OVER () AS INTEGER) AS events, true AS complete, CAST(2 AS INTEGER) AS refused, CAST(3 AS INTEGER) AS tries FROM daily_price WHERE trade_date = {_LAST}")
