@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog_queries import FROM, TO, Tables, _simple
+from .catalog_queries import FROM, TO, Tables, _simple, _stored
 from .operators import backtest as B
 
 _CONFIG = B.BacktestConfig("core", FROM, TO, "monthly", top_n=5, slippage_bps=20.0, commission_rate=0.001, stamp_tax_rate=0.001)
@@ -44,7 +44,7 @@ daily AS (SELECT trade_date, cash, coalesce(v, 0) AS position_value, cash + coal
 
 
 def _detail(t: Tables):
-    return B.simulate(t.selection, B.backtest_prices(t.adjusted, t.daily_price), [_CONFIG])
+    return B.simulate(_stored(t).selection, B.backtest_prices(t.adjusted, t.daily_price), [_CONFIG])
 
 
 def _rounded(column: str, places: int):
