@@ -1,7 +1,8 @@
 """A corpus pipeline: toxicity, near duplicates, benchmark passages, source mixture, token files.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
-with their columns; the last returns what the token files hold.
+with their columns; the last returns what the token files hold.  A stage begins
+by having the executors give back what the stages before it no longer need.
 
 Defined results: rows are told apart by id and text, so of an id with several
 texts each is judged by its own; of rows that repeat id and text one stays after
@@ -16,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialize, read_table, sweep, written
+from quantloom.llm.common import materialize, read_table, settle, sweep, written
 from quantloom.llm.decontam import decontaminate
 from quantloom.llm.mixing import apply_mixture
 from quantloom.llm.ngram_join import ngram_components
@@ -48,6 +49,7 @@ def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     model = fit(docs, read_table(spark, sf_dir, "labels"))
     name = next(f"toxic_{i}" for i in range(len(docs.columns) + 1) if f"toxic_{i}" not in {c.lower() for c in docs.columns})
     return score(docs, model, name).where(F.col(name) < TOXIC).select(*docs.columns)
@@ -55,6 +57,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; of repeated rows one."""
+    settle(spark)
     found = ngram_components(_tagged(docs), width=5, percent=80, tag_col="tag").where("doc_id is not null")
     found = materialize(found.select("doc_id", "tag", "group"), "near")
     first = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "tag")).alias("x"))
@@ -68,16 +71,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     found = decontaminate(_tagged(docs), read_table(spark, sf_dir, "benchmark"), width=10, tag_col="tag")
     return _without(docs, found.where("contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document is read at least once; documents of small sources up to twice."""
+    settle(spark)
     return apply_mixture(docs, max_repeat=2.0)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     # other stages share the workers' memory: smaller files and fewer kept pieces than the operator's own
     return tokenize_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"), image_bytes=3 << 18, cache_pieces=160_000)
 
